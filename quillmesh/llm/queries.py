@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import components, encoding, proportions, site_caps
+from quillmesh.llm import boilerplate, components, encoding, proportions, site_caps, truncation
 from quillmesh.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.SiteLines(table(spark, sf_dir, "articles")).found()
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.SiteLines(table(spark, sf_dir, "articles")).cleaned()
+
+
+def p1_line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.SiteLines(table(spark, sf_dir, "articles")).line_report()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = components.matched_pairs(table(spark, sf_dir, "duplicate_pair_reviews"))
     return components.connected_groups(pairs, "article_id_a", "article_id_b")
@@ -41,6 +53,14 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportions.draw(*_frames(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated_articles(table(spark, sf_dir, "articles"))
+
+
+def p5_site_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.site_rates(table(spark, sf_dir, "articles"))
+
+
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("articles", "article_scores", "site_caps")
     return site_caps.cap_sites(*(table(spark, sf_dir, n) for n in names))
@@ -62,6 +82,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f
-    for f in (p2_found, p2_group_sizes, p3_found, p3_report, p3_sample, p7_found, p7_site_report, p8_ids)
+    name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit() and callable(f)
 }
