@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import boilerplate, components, encoding, proportions, site_caps, truncation
+from quillmesh.llm import boilerplate, components, encoding, mixing, proportions, site_caps, truncation
 from quillmesh.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,22 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.fit_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0].filter(~F.col("in_reach")).select("mix_id", "source")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
 QUERIES: dict[str, Query] = {
     name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit() and callable(f)
 }
