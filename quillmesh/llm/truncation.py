@@ -305,8 +305,9 @@ class TruncationModel:
         p = F.aggregate(
             "steps", F.lit(float(base)), lambda acc, x: (x["b"] + BACKOFF * acc) / (x["b"] + x["c"] + BACKOFF)
         )
+        bounded = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-9), p))
         odds = F.log(F.col("p") / (1 - F.col("p"))) - F.when(F.col("marked"), MARK_COST).otherwise(0.0)
-        joined = steps.select("key", p.alias("p")).join(self.tuples.drop("contexts"), "key")
+        joined = steps.select("key", bounded.alias("p")).join(self.tuples.drop("contexts"), "key")
         return joined.select("key", "lang", "marked", "rows", "ends", odds.alias("log_odds"))
 
     def _thresholds(self) -> dict[str, float]:
