@@ -15,12 +15,16 @@ counts it is judged by.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.skew import join_counted
@@ -40,34 +44,66 @@ PIECE = 1 << 20
 #: Characters at the end of a value that surely hold its final context.
 TAIL = 700
 # Signs that a cut leaves behind, at the very end of a value.
-MARKS = r"(?:\s*(?:\[(?:\.\.\.|…)\]|\.\.\.|…|\((?:more|mehr|más|suite)\)|�|&(?:#\d*|[a-z]{0,6})|<(?:/?[a-zA-Z][^<>]*)?|\[\+\d+ chars\]))+$"
-_SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
-
-
-def _stripped(body: Column) -> Column:
-    return F.regexp_replace(body, rf"^{_SPACE}+|{_SPACE}+$", "")
-
-
-def core_text(body: Column) -> Column:
-    """The value without outer white space and without signs of a cut."""
-    text = _stripped(body)
-    sign = F.regexp_extract(F.right(text, F.lit(TAIL)), MARKS, 0)
-    return F.when(sign == "", text).otherwise(
-        F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(sign)), rf"{_SPACE}+$", "")
-    )
-
-
-def has_mark(body: Column) -> Column:
-    return F.regexp_extract(F.right(_stripped(body), F.lit(TAIL)), MARKS, 0) != ""
-
-
-def stream(core: Column, starts: Column | None = None) -> Column:
-    """The symbol stream: names as ``X`` except at a line's start, numbers as ``0``, one line feed before each line."""
-    lines = F.regexp_replace(core, r"\s*\n\s*", "\n")
-    lines = F.concat(F.lit("\n") if starts is None else F.when(starts, "\n").otherwise(""), lines)
-    names = F.regexp_replace(lines, r"(?<![\n\p{Lu}\p{Ll}’'-])\p{Lu}[\p{Lu}\p{Ll}\p{M}’'-]*", "X")
-    numbers = F.regexp_replace(names, r"(?<=[\s(（£$€:年于])\d+(?:[.,]\d+)*", "0")
-    return F.translate(numbers, "123456789", "000000000")
+MARKS = re.compile(
+    r"(?:\s*(?:\[(?:\.\.\.|…)\]|\.\.\.|…|\((?:more|mehr|más|suite)\)|�|&(?:#\d*|[a-z]{0,6})"
+    r"|<(?:/?[a-zA-Z][^<>]*)?|\[\+\d+ chars\]))+$"
+)
+# Characters after which a number stands free.
+_BEFORE_NUMBER = "(（£$€:年于"
+_SENTINEL, _FEED, _SPACE, _ZERO, _NAME = 1, 10, 32, ord("0"), ord("X")
+_UPPER, _WORD, _WHITE, _DIGIT, _OPENS = 1, 2, 4, 8, 16
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Bit set of classes of every code point."""
+    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    kinds = {"Lu": _UPPER | _WORD, "Lt": _UPPER | _WORD, "Ll": _WORD, "Mn": _WORD, "Mc": _WORD, "Nd": _DIGIT}
+    for point in range(sys.maxunicode + 1):
+        char = chr(point)
+        table[point] = kinds.get(unicodedata.category(char), 0) | (_WHITE if char.isspace() or char in "\u200b\ufeff" else 0)
+    for char in "’'-":
+        table[ord(char)] |= _WORD
+    for char in _BEFORE_NUMBER:
+        table[ord(char)] |= _OPENS
+    return table
+
+
+def _symbols(codes: np.ndarray) -> np.ndarray:
+    """The symbol stream of code points: white space around a line feed is one line feed, a name is ``X``
+    except at a line's start, a free number is one ``0`` and every other digit is ``0``."""
+    codes = codes.copy()
+    kind = _classes()[codes]
+    keep = np.ones(len(codes), bool)
+    white = (kind & _WHITE) != 0
+    begins = white & ~np.concatenate(([False], white[:-1]))
+    at = np.flatnonzero(begins)
+    if len(at):
+        run = np.cumsum(begins) - 1
+        feeds = np.bincount(run[codes == _FEED], minlength=len(at)) > 0
+        in_feed = white & feeds[np.maximum(run, 0)]
+        keep &= ~in_feed | begins
+        codes[white] = _SPACE
+        codes[in_feed] = _FEED
+    before = np.concatenate(([_FEED], codes[:-1]))
+    word = (kind & _WORD) != 0
+    begins = word & ~np.concatenate(([False], word[:-1]))
+    if begins.any():
+        folded = ((kind & _UPPER) != 0)[begins] & (before[begins] != _FEED)
+        in_name = word & folded[np.maximum(np.cumsum(begins) - 1, 0)]
+        keep &= ~in_name | begins
+        codes[in_name] = _NAME
+    digit = (kind & _DIGIT) != 0
+    if digit.any():
+        point = (codes == ord(".")) | (codes == ord(","))
+        inner = point & np.concatenate(([False], digit[:-1])) & np.concatenate((digit[1:], [False]))
+        number = digit | inner
+        begins = number & ~np.concatenate(([False], number[:-1]))
+        opens = np.concatenate(([True], ((kind & (_OPENS | _WHITE)) != 0)[:-1]))
+        free = number & opens[begins][np.maximum(np.cumsum(begins) - 1, 0)]
+        keep &= ~free | begins
+        codes[digit] = _ZERO
+    return codes[keep]
 
 
 _P = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
@@ -93,7 +129,7 @@ class _Hasher:
         self._powers(len(codes) + 1)
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self._up[: len(codes)], out=sums[1:])
-        line = np.maximum.accumulate(np.where(codes == 10, np.arange(len(codes)), 0))[at]
+        line = np.maximum.accumulate(np.where(codes == _FEED, np.arange(len(codes)), 0))[at]
         upto = sums[at + 1]
         for order in ORDERS:
             first = np.maximum(at - (order - 1), line)
@@ -107,37 +143,51 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _finals(codes: np.ndarray, events: np.ndarray) -> np.ndarray:
+    """Index, among the events, of the last one before each sentinel but the first."""
+    stops = np.append(np.flatnonzero(codes == _SENTINEL)[1:], len(codes))
+    return np.searchsorted(events, stops) - 1
+
+
+def _events(codes: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((codes != _FEED) & (codes != _SPACE) & (codes != _SENTINEL))
+
+
+def final_core(tail: str, whole: bool) -> tuple[str, bool]:
+    """The end of a value without outer white space and signs of a cut, and whether it had such a sign."""
+    text = tail.strip().strip("\u200b\ufeff").strip()
+    sign = MARKS.search(text, max(0, len(text) - 200))
+    if sign:
+        text = text[: sign.start()].rstrip()
+    return ("\n" if whole else "") + text, sign is not None
+
+
 def _hash_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the last column, final pieces of streams, by the list of their context hashes."""
+    """Replace the last two columns, a value's end and whether it is all of it, by ``marked`` and ``contexts``."""
     hasher = _Hasher()
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        tails = [t or "\n" for t in batch.column(batch.num_columns - 1).to_pylist()]
-        ends = np.cumsum([len(t) for t in tails]) - 1
-        # A line feed in front of every tail keeps one value's context from running into the last.
-        codes = _codes("".join(tails))
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        spaced, shift = np.insert(codes, starts, 10), np.arange(1, len(tails) + 1)
-        hashes = np.stack(list(hasher(spaced, ends + shift)), axis=1).view(np.int64)
-        flat = pa.array(hashes.ravel())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, len(ORDERS), dtype=np.int32)), flat)
-        names = [*batch.schema.names[:-1], "contexts"]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=names)
+        ends = [final_core(t, w) for t, w in zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True)]
+        # A stand-in symbol makes sure that every value has a final place.
+        codes = _symbols(_codes("".join(f"\x01{text or chr(0)}" for text, _ in ends)))
+        events = _events(codes)
+        hashes = np.stack(list(hasher(codes, events[_finals(codes, events)])), axis=1).view(np.int64)
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.arange(0, hashes.size + 1, len(ORDERS), dtype=np.int32)), pa.array(hashes.ravel())
+        )
+        marked = pa.array([m for _, m in ends])
+        names = [*batch.schema.names[:-2], "marked", "contexts"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], marked, lists], names=names)
 
 
 def _pieces(texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(codes, places that are events) of about PIECE symbols; the last place of a text is no event."""
+    """(symbols, places of events) of about PIECE characters; a text's last place is no event."""
     joined: list[str] = []
     size = 0
     for text in texts:
         if len(text) > PIECE:
-            lead = max(ORDERS)
-            for start in range(0, len(text), PIECE):
-                codes = _codes(text[max(0, start - lead) : start + PIECE + 1])
-                skip, stop = min(start, lead), len(codes) - 1
-                places = np.arange(skip, stop)
-                yield codes, places[(codes[places] != 10) & (codes[places] != 32)]
+            yield from _long(text)
             continue
         joined.append(text)
         size += len(text)
@@ -148,11 +198,26 @@ def _pieces(texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield _joined(joined)
 
 
+def _long(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of one text, each cut after white space and led in by the end of the piece before."""
+    text = "\n" + text.rstrip()
+    at = 0
+    while at < len(text):
+        gap = re.compile(r"\s+").search(text, at + PIECE, at + 2 * PIECE)
+        stop = gap.end() if gap else min(len(text), at + 2 * PIECE)
+        lead = _symbols(_codes(text[max(0, at - TAIL) : at])) if at else np.zeros(0, np.uint32)
+        codes = _symbols(_codes(text[max(0, at - TAIL) : stop]))
+        events = _events(codes)
+        events = events[(events >= len(lead)) & (events < len(codes) - 1)]
+        yield codes, events
+        at = stop
+
+
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    codes = _codes("".join(texts))
-    event = (codes != 10) & (codes != 32)
-    event[np.cumsum([len(t) for t in texts]) - 1] = False
-    return codes, np.flatnonzero(event)
+    codes = _symbols(_codes("".join(f"\x01\n{t}" for t in texts)))
+    events = _events(codes)
+    last = _finals(codes, events)
+    return codes, np.delete(events, last[last >= 0]) if len(events) else events
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +226,7 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _counter(packed: list[bytes], bits: int):
-    """Function over Arrow batches of streams that counts breaks and continuations of the marked contexts."""
+    """Function over Arrow batches of texts that counts breaks and continuations of the marked contexts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = [np.unpackbits(np.frombuffer(p, np.uint8)).view(bool) for p in packed]
@@ -169,11 +234,11 @@ def _counter(packed: list[bytes], bits: int):
         keys = [[] for _ in ORDERS]
         counts = [[] for _ in ORDERS]
         total = [0, 0]
-        streams = (t for batch in batches for t in batch.column(0).to_pylist() if t)
-        for codes, at in _pieces(streams):
+        texts = (t for batch in batches for t in batch.column(0).to_pylist() if t)
+        for codes, at in _pieces(texts):
             if not len(at):
                 continue
-            breaks = codes[at + 1] == 10
+            breaks = codes[at + 1] == _FEED
             total[0] += int(breaks.sum())
             total[1] += len(at)
             for k, h in enumerate(hasher(codes, at)):
@@ -242,13 +307,11 @@ class TruncationModel:
     def __init__(self, rows: DataFrame, text: str = "body") -> None:
         self.ws = Workspace(rows.sparkSession, "truncation")
         value = F.col(text)
-        kept = rows.filter(value.isNotNull() & (_stripped(value) != ""))
-        core = core_text(value)
-        end = F.right(core, F.lit(TAIL))
+        kept = rows.filter(value.isNotNull() & (F.trim(F.right(value, F.lit(TAIL))) != ""))
         tails = kept.select(
             "article_id", site(F.coalesce(F.col("domain"), F.lit(""))).alias("site"), F.xxhash64(value).alias("doc"),
-            F.hash(value).alias("doc2"), language_code(F.col("language")).alias("lang"), has_mark(value).alias("marked"),
-            stream(end, F.length(core) <= TAIL).alias("tail"),
+            F.hash(value).alias("doc2"), language_code(F.col("language")).alias("lang"),
+            F.right(value, F.lit(TAIL)).alias("tail"), (F.length(value) <= TAIL).alias("whole"),
         )
         schema = "article_id string, site string, doc long, doc2 int, lang string, marked boolean, contexts array<long>"
         hashed = tails.mapInArrow(_hash_tails, schema)
@@ -261,15 +324,14 @@ class TruncationModel:
         self.tuples = self.ws.write(
             tuples.join(ends, "key", "left").withColumn("ends", F.coalesce("ends", F.lit(0))), "tuples"
         )
-        self.scored = self.ws.write(self._score(kept.select(stream(core_text(value)).alias("stream"))), "scored")
+        self.scored = self.ws.write(self._score(kept.select(value)), "scored")
         self.thresholds = self._thresholds()
 
-    def _score(self, streams: DataFrame) -> DataFrame:
-        spark = streams.sparkSession
+    def _score(self, texts: DataFrame) -> DataFrame:
         n = self.tuples.count()
         bits = int(min(24, max(16, np.ceil(np.log2(16 * max(1, n))))))
         counter = _counter(_bitmaps(self.tuples, bits), bits) if n else _counter([b"\0" * (1 << bits >> 3)] * len(ORDERS), bits)
-        counted = streams.mapInArrow(counter, "order long, key long, n long")
+        counted = texts.mapInArrow(counter, "order long, key long, n long")
         isbreak = F.col("key").bitwiseAND(F.lit(1)) == 1
         counts = self.ws.write(
             counted.groupBy("order", F.col("key").bitwiseAND(F.lit(-2)).alias("context")).agg(
@@ -280,8 +342,8 @@ class TruncationModel:
         )
         total = counts.filter("order = -1").first()
         # The totals row holds (breaks, events): its even key 0 and odd key 1 land in runs and breaks.
-        breaks, events = (total["runs"], total["breaks"]) if total else (0, 0)
-        base = (breaks + 1.0) / (events + 2.0)
+        breaks, places_all = (total["runs"], total["breaks"]) if total else (0, 0)
+        base = (breaks + 1.0) / (places_all + 2.0)
         places = self.tuples.select(
             "key", "ends", "marked", F.posexplode("contexts").alias("order", "h")
         ).select("key", "ends", "marked", F.col("order").cast("long"), F.col("h").bitwiseAND(F.lit(-2)).alias("context"))
