@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import boilerplate, components, encoding, mixing, proportions, site_caps, truncation
+from quillmesh.llm import boilerplate, components, consensus, encoding, mixing, proportions, site_caps, truncation
 from quillmesh.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,26 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportions.draw(*_frames(spark, sf_dir))
 
 
+def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
+    return consensus.Consensus(consensus.valid_labels(table(spark, sf_dir, "relevance_annotations")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).unreliable()
+
+
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).agreed()
+
+
+def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).reliability()
+
+
+def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.krippendorff(consensus.valid_labels(table(spark, sf_dir, "relevance_annotations")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated_articles(table(spark, sf_dir, "articles"))
 
