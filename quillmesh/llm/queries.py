@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import boilerplate, components, consensus, encoding, mixing, proportions, site_caps, truncation
+from quillmesh.llm import boilerplate, components, consensus, encoding, mixing, pii, proportions, site_caps, truncation
 from quillmesh.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,14 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents")).distinct()
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit() and callable(f)
 }
