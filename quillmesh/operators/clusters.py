@@ -74,8 +74,9 @@ def near_duplicates(df: DataFrame, identity: str, text: str, size: int = SHINGLE
     ws = Workspace(df.sparkSession, "neardup")
     # Words are a column of their own: inside the shingle function they would be split again for every shingle.
     worded = df.filter(F.col(identity).isNotNull()).select(F.col(identity).alias("id"), words(F.col(text)).alias("words"))
-    base = worded.select("id", shingles(F.col("words"), size).alias("set"))
-    hashed = ws.write(base.filter(F.size("set") > 0).withColumn("set", F.array_sort("set")), "sets")
+    # The filter is on the words for the same reason: on the shingles it would be pushed below that column.
+    base = worded.filter(F.size("words") > 0).select("id", F.sort_array(shingles(F.col("words"), size)).alias("set"))
+    hashed = ws.write(base, "sets")
     key = [F.xxhash64("set").alias("k1"), F.hash("set").alias("k2")]
     classes = hashed.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = join_counted(hashed.select("id", *key), classes, ["k1", "k2"], "copies", max(1, hashed.count())).select(F.col("id").alias(identity), F.col("rep").alias("class_id"))

@@ -8,11 +8,13 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.functions.hashing import content_hash, short_id
 from quillmesh.functions.text import language_code, site
 from quillmesh.functions.urls import host_of, normalize_url
 from quillmesh.operators import alignment, bars, clusters, evaluation, event_study, joins, linking, news, reporting, sampling, themes
 from quillmesh.operators.timestamps import normalise_published
 from quillmesh.session import table
+from quillmesh.streaming.events import batch_tumbling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -397,6 +399,15 @@ def report_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.quality_summary(table(spark, sf_dir, "articles"), ["title", "description", "body", "language", "published_at"], "article_id")
 
 
+def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(batch_tumbling(table(spark, sf_dir, "events")), 4)
+
+
+def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return rows.select("doc_id", content_hash(F.col("text")).alias("text_hash"), short_id("doc-", 20, F.col("source"), F.col("doc_id")).alias("stable_id"))
+
+
 _OWN = __name__
 QUERIES: dict[str, Query] = {
     name: f for name, f in list(globals().items())

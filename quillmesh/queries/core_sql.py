@@ -360,6 +360,8 @@ cal AS (
 """
 
 
+SQL["tumbling_counts"] = """SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total_value
+FROM events WHERE ts IS NOT NULL GROUP BY ALL"""
 SQL["session_alignment"] = (
     _calendar(range(2023, 2026))
     + """, e AS (SELECT event_id, ts, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS day FROM events WHERE ts IS NOT NULL)
