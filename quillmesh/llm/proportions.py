@@ -137,7 +137,9 @@ def _signed(units: DataFrame) -> DataFrame:
 def _by_kind(signed: DataFrame, requests: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests with the categories they name, and the pool of signatures over just those categories."""
     name = squash(F.col("category"))
-    named = targets.filter(F.col("category").isNotNull() & F.col("request_id").isNotNull()).withColumn("name", name)
+    named = targets.filter(F.col("category").isNotNull() & F.col("request_id").isNotNull()).select(
+        "request_id", "category_kind", "category", "target_share", "min_count", name.alias("name")
+    )
     wanted = named.groupBy("request_id").agg(
         F.array_sort(F.collect_set(F.concat_ws(":", "category_kind", "name"))).alias("wanted")
     )
