@@ -75,6 +75,7 @@ def cap_by_rank(records: DataFrame, caps: DataFrame, group: str, key: str, cap:
             F.expr("substring(_lo, 1, 0)").alias("_prefix"),
             ((F.col("_cap") <= 0) | (F.col("_n") <= F.col("_cap"))).alias("_done"),
             (F.col("_n") <= F.col("_cap")).alias("_all"),
+            F.lit(True).alias("_open"),
             "_lo",
             "_hi",
         )
@@ -112,13 +113,16 @@ def cap_by_rank(records: DataFrame, caps: DataFrame, group: str, key: str, cap:
             .alias("_prefix"),
             exact.alias("_done"),
             F.lit(False).alias("_all"),
+            # A digit that is cut short is the end of one key: keys that go on from there come after it.
+            (F.octet_length("_digit") == DIGIT_BYTES).alias("_open"),
         )
         later = ws.write(state.filter("_done").unionByName(step), "state")
         ws.drop(state)
         state = later
-    within = F.substring(F.col(key), F.lit(1), F.octet_length("_prefix")) <= F.col("_prefix")
+    starts = F.substring(F.col(key), F.lit(1), F.octet_length("_prefix")) == F.col("_prefix")
+    within = (F.col(key) <= F.col("_prefix")) | (F.col("_open") & starts)
     kept = F.col("_prefix").isNull() | F.col("_all") | ((F.col("_left") > 0) & within)
-    return records.join(hint(state), group, "left").withColumn("kept", kept).drop("_left", "_prefix", "_done", "_all")
+    return records.join(hint(state), group, "left").withColumn("kept", kept).drop("_left", "_prefix", "_done", "_all", "_open")
 
 
 def latest_scores(scores: DataFrame) -> DataFrame:
