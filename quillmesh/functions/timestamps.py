@@ -22,7 +22,7 @@ PLACE_ZONES = {"et": "America/New_York", "ct": "America/Chicago", "pt": "America
 # Month names, by their first three letters.
 MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 
-_OFFSET = r"[+\-−]\d{2}:?\d{2}|[+\-−]\d{1,2}"
+_OFFSET = r"[+\-−]\d{1,2}:\d{2}|[+\-−]\d{4}|[+\-−]\d{1,2}"
 _CLOCK = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<ap>[ap]\.?m\.?))?"
 _ZONE = rf"(?:\s*(?P<off>{_OFFSET})|\s*(?P<zone>[a-z]+(?:/[a-z_+\-0-9]+)*)(?P<zoff>{_OFFSET})?|\s*\((?P<pzone>[a-z]+)\))?"
 
