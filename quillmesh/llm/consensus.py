@@ -20,7 +20,7 @@ from quillmesh.lineage import Workspace
 CLASSES = 4
 #: Dirichlet priors: of the classes, and of a row's own and other labels.
 CLASS_PRIOR, OWN_PRIOR, OTHER_PRIOR = 1.0, 1.5, 0.6
-ROUNDS, TOLERANCE = 12, 1e-3
+ROUNDS, CHECK_EVERY, TOLERANCE = 12, 3, 1e-3
 #: Annotators with fewer items are not judged.
 LEAST_ITEMS = 6
 #: An annotator whose labels follow the consensus less than this (correlation) says nothing about it.
@@ -67,20 +67,22 @@ class Consensus:
         share = [F.avg((F.col("label") == k).cast("double")).alias(f"q{k}") for k in range(CLASSES)]
         self.items = self.ws.write(self.labels.groupBy("item").agg(*share), "items")
         self.confusion = self._confusion()
-        for _ in range(rounds):
+        for done in range(1, rounds + 1):
             later = self.ws.write(self._expect(), "items")
-            change = (
-                later.join(self.items.select("item", *(F.col(f"q{k}").alias(f"o{k}") for k in range(CLASSES))), "item")
-                .agg(F.max(F.greatest(*(F.abs(F.col(f"q{k}") - F.col(f"o{k}")) for k in range(CLASSES)))))
-                .first()[0]
-            )
+            # Whether the posteriors still move is looked at every third round only.
+            settled = done % CHECK_EVERY == 0 and self._change(later) < TOLERANCE
             self.ws.drop(self.items)
             self.ws.drop(self.confusion)
             self.items = later
             self.confusion = self._confusion()
-            if change is None or change < TOLERANCE:
+            if settled:
                 break
 
+    def _change(self, later: DataFrame) -> float:
+        old = self.items.select("item", *(F.col(f"q{k}").alias(f"o{k}") for k in range(CLASSES)))
+        gap = F.greatest(*(F.abs(F.col(f"q{k}") - F.col(f"o{k}")) for k in range(CLASSES)))
+        return later.join(old, "item").agg(F.max(gap)).first()[0] or 0.0
+
     def _confusion(self) -> DataFrame:
         """(annotator, label, n0..): expected labels of each true class, with their priors."""
         sums = [F.sum(f"q{k}").alias(f"n{k}") for k in range(CLASSES)]

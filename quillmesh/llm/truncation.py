@@ -307,7 +307,7 @@ class TruncationModel:
     def __init__(self, rows: DataFrame, text: str = "body") -> None:
         self.ws = Workspace(rows.sparkSession, "truncation")
         value = F.col(text)
-        kept = rows.filter(value.isNotNull() & (F.trim(F.right(value, F.lit(TAIL))) != ""))
+        kept = rows.filter(value.isNotNull() & value.rlike(r"\S"))
         tails = kept.select(
             "article_id", site(F.coalesce(F.col("domain"), F.lit(""))).alias("site"), F.xxhash64(value).alias("doc"),
             F.hash(value).alias("doc2"), language_code(F.col("language")).alias("lang"),
