@@ -59,3 +59,46 @@ def take_ranked(df: DataFrame, groups: list[str], quota: str, rank: list[Column]
     place = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(*rank))
     edge = marked.filter(~fits).withColumn("_rn", place).filter(F.col("_rn") <= F.col(quota) - F.col("_before"))
     return marked.filter(fits).select(*cols).unionByName(edge.select(*cols))
+
+
+def exact_medians(df: DataFrame, groups: list[str], value: str, bins: int = 2048) -> DataFrame:
+    """(groups, median) of each group's non-null values, exact, without holding a group in one task.
+
+    Values are counted in equal ranges between their group's least and greatest
+    value; only the ranges that hold the middle are counted by single value.
+    The groups are a bounded dimension, checked before they are broadcast.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    ends = bounded_broadcast(rows.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")))
+    width = F.col("_hi") - F.col("_lo")
+    cell = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width * bins))).otherwise(0).cast("int")
+    binned = rows.join(ends, groups).select(*groups, "_v", "_n", cell.alias("_b"))
+    order = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = binned.groupBy(*groups, "_b", "_n").agg(F.count(F.lit(1)).alias("_c")).withColumn(
+        "_before", F.coalesce(F.sum("_c").over(order), F.lit(0))
+    )
+    first, second = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = counts.filter(
+        ((F.col("_before") <= first) & (first < F.col("_before") + F.col("_c"))) | ((F.col("_before") <= second) & (second < F.col("_before") + F.col("_c")))
+    ).select(*groups, "_b", "_before")
+    near = binned.join(bounded_broadcast(middle), [*groups, "_b"]).groupBy(*groups, "_n", "_b", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inside = Window.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = near.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    holds = lambda r: (F.col("_from") <= r) & (r < F.col("_from") + F.col("_c"))
+    return placed.groupBy(*groups).agg(
+        ((F.max(F.when(holds(first), F.col("_v"))) + F.max(F.when(holds(second), F.col("_v")))) / 2).alias("median")
+    )
+
+
+def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """``df`` with 0, 1, 2 .. in the order of hash bucket and ``key``, numbered without sorting everything in one task.
+
+    ``key`` should be unique; ties are numbered in any order.
+    """
+    cols = df.columns
+    rows = df.withColumn("_b", hash_bucket(F.xxhash64(key)))
+    order = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_from", F.coalesce(F.sum("_c").over(order), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
+    # At most 4,096 buckets, so their starts are small by construction.
+    return rows.withColumn("_in", place).join(F.broadcast(starts), "_b").select(*cols, (F.col("_from") + F.col("_in")).alias(name))

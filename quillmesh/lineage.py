@@ -38,7 +38,8 @@ class Workspace:
     """Scratch tables of one operator run.
 
     ``write`` stores a frame and returns it as a plain scan; ``drop`` removes
-    tables that no later plan reads. Tables a returned frame still reads stay.
+    tables that no later plan reads. Tables a returned frame still reads stay
+    until the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
@@ -53,10 +54,17 @@ class Workspace:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
+        if self._seq == 1:
+            self._delete_at_end()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quillmesh_path = path
         return out
 
+    def _delete_at_end(self) -> None:
+        """Have the file system remove the run's folder when the application ends."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_quillmesh_path", None)
         if path:

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.functions.skew import exact_medians
+from quillmesh.lineage import Workspace
+
 #: Draws of a bootstrap, sessions per block, seed, and what is added to the seed for the control draws.
 DRAWS, BLOCK, SEED, CONTROL_SEED = 2000, 5, 12345, 10_000_019
 
@@ -25,13 +28,19 @@ def long_responses(df: DataFrame, keep: list[str], responses: list[str]) -> Data
 
 
 def describe_groups(long: DataFrame, groups: list[str]) -> DataFrame:
-    """Descriptive statistics of each response: overall, and by each group column, from one pass of grouping sets."""
+    """Descriptive statistics of each response: overall, and by each group column, from one set of groupings; medians are exact."""
     names = F.array(*(F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("member")) for g in groups))
     every = F.concat(F.array(F.struct(F.lit("all").alias("grouping"), F.lit("all").alias("member"))), names)
-    rows = long.select("kind", "response", "value", F.inline(every)).filter("member is not null")
-    return rows.groupBy("grouping", "member", "kind", "response").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.avg((F.col("value") > 0).cast("double")).alias("positive_fraction"),
+    # Written once: the statistics and the three passes of the medians would else each compute the responses again.
+    kept = Workspace(long.sparkSession, "responses").write(long.select("kind", "response", "value", *groups), "long")
+    rows = kept.select("kind", "response", "value", F.inline(every)).filter("member is not null")
+    keys = ["grouping", "member", "kind", "response"]
+    described = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("minimum"),
+        F.max("value").alias("maximum"), F.avg((F.col("value") > 0).cast("double")).alias("positive_fraction"),
+    )
+    return described.join(exact_medians(rows, keys, "value"), keys).select(
+        *keys, "n", "mean", "median", "std", "minimum", "maximum", "positive_fraction"
     )
 
 
@@ -106,6 +115,6 @@ def bootstrap_differences(means: DataFrame, session: str, by: list[str], draws:
 
 def median_split(df: DataFrame, value: str, out: str) -> DataFrame:
     """``df`` with ``out``: low at or below the median of ``value``, high above it, null without a value."""
-    middle = df.agg(F.percentile(value, 0.5).alias("_m"))
+    middle = exact_medians(df.withColumn("_all", F.lit(1)), ["_all"], value).select(F.col("median").alias("_m"))
     side: Column = F.when(F.col(value).isNull(), None).when(F.col(value) <= F.col("_m"), "low").otherwise("high")
-    return df.crossJoin(F.broadcast(middle)).withColumn(out, side).drop("_m")
+    return df.join(F.broadcast(middle), F.lit(True), "left").withColumn(out, side).drop("_m")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.hashing import content_hash, short_id
 from quillmesh.functions.text import language_code, site
 from quillmesh.functions.urls import host_of, normalize_url
-from quillmesh.operators import alignment, bars, clusters, evaluation, event_study, joins, linking, news, reporting, sampling, themes
+from quillmesh.operators import alignment, bars, benchmark, clusters, evaluation, event_study, joins, linking, news, reporting, sampling, themes
 from quillmesh.operators.timestamps import normalise_published
 from quillmesh.session import table
 from quillmesh.streaming.events import batch_tumbling
@@ -349,6 +349,31 @@ def label_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.confusion_matrix(_label_pairs(spark, sf_dir))
 
 
+def kappa_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(benchmark.kappa_interval(_label_pairs(spark, sf_dir), "item", replicates=100))
+
+
+def date_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    split = benchmark.split_by_date(F.col("day"), date(1992, 6, 1), date(1996, 6, 30), date(1997, 6, 30), date(1998, 6, 30), 7)
+    return days.select("o_orderkey", split.alias("split"))
+
+
+def split_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, actual = _reviews(spark, sf_dir)
+    pairs = rows.withColumn("_a", actual).filter("_a").select("article_id_a", "article_id_b")
+    day = F.to_date(F.substring("ingested_at", 1, 10))
+    days = table(spark, sf_dir, "articles").groupBy("article_id").agg(F.min(day).alias("day"))
+    split = benchmark.split_by_date(F.col("day"), date(2025, 1, 1), date(2025, 12, 31), date(2026, 3, 31), date(2026, 12, 31))
+    return benchmark.contamination(pairs, "article_id_a", "article_id_b", days.select("article_id", split.alias("split")), "article_id")
+
+
+def challenge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "sampled_units").select("article_id", "challenge_reason_codes")
+    order = ["EARNINGS", "FAB_CAPACITY", "METADATA_ONLY", "MULTI_ENTITY", "POLICY_EXPORT_CONTROL"]
+    return benchmark.round_robin(rows, "article_id", "challenge_reason_codes", order, 120, "quillmesh")
+
+
 # --- event study and reports -------------------------------------------------
 
 

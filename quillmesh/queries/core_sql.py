@@ -299,6 +299,17 @@ SQL: dict[str, str] = {
         FROM r, t WHERE a IS NOT NULL GROUP BY threshold), m AS (SELECT *, {_METRICS} FROM c)
       SELECT round(threshold, 4) AS threshold, round(tp, 4) AS tp, round(fp, 4) AS fp, round(fn, 4) AS fn, round(tn, 4) AS tn, round(precision, 4) AS precision, round(recall, 4) AS recall,
         round(specificity, 4) AS specificity, round(2 * precision * recall / nullif(precision + recall, 0), 4) AS f1, round((recall + specificity) / 2, 4) AS balanced_accuracy FROM m""",
+    "date_splits": """SELECT o_orderkey, CASE WHEN d IS NULL THEN 'undated' WHEN d < DATE '1992-06-01' THEN 'before_range' WHEN d > DATE '1998-06-30' THEN 'after_range'
+        WHEN d > DATE '1996-06-23' AND d <= DATE '1996-06-30' THEN 'embargo' WHEN d <= DATE '1996-06-30' THEN 'train'
+        WHEN d > DATE '1997-06-23' AND d <= DATE '1997-06-30' THEN 'embargo' WHEN d <= DATE '1997-06-30' THEN 'validation' ELSE 'test' END AS split
+      FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""",
+    "split_contamination": """WITH s AS (SELECT article_id, CASE WHEN d < DATE '2025-01-01' OR d > DATE '2026-12-31' THEN NULL WHEN d > DATE '2025-12-29' AND d <= DATE '2025-12-31' THEN NULL
+        WHEN d <= DATE '2025-12-31' THEN 'train' WHEN d > DATE '2026-03-29' AND d <= DATE '2026-03-31' THEN NULL WHEN d <= DATE '2026-03-31' THEN 'validation' ELSE 'test' END AS split
+        FROM (SELECT article_id, min(CAST(substr(ingested_at, 1, 10) AS DATE)) AS d FROM articles GROUP BY 1)),
+      p AS (SELECT DISTINCT article_id_a, article_id_b FROM duplicate_pair_reviews
+        WHERE regexp_replace(upper(pair_label), '[^A-Z]+', '', 'g') IN ('EXACTSAMECONTENT', 'SYNDICATEDSAMESTORY', 'REWRITTENSAMESTORY'))
+      SELECT article_id_a, article_id_b, x.split AS split_a, y.split AS split_b FROM p JOIN s x ON x.article_id = article_id_a JOIN s y ON y.article_id = article_id_b
+      WHERE x.split <> y.split""",
     "annotator_agreement": _PAIRS
     + """, o AS (SELECT count(*) AS pairs, avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END) AS exact, avg(CASE WHEN abs(a - b) <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS adjacent,
         avg(CASE WHEN abs(a - b) >= 2 THEN 1.0::DOUBLE ELSE 0 END) AS large_gap, avg(CASE WHEN (a >= 2) = (b >= 2) THEN 1.0::DOUBLE ELSE 0 END) AS binary_agreement,

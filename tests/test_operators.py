@@ -183,3 +183,35 @@ def test_resolve_asof_ambiguity(spark):
     )
     got = {r["name"]: (r["instrument_id"], r["ambiguous"]) for r in joins.resolve_asof(facts, dim, "name", "day", ["symbol", "alias"], "instrument_id").collect()}
     assert got == {"ibm": ("i1", False), "x": (None, True), "zz": (None, False)}
+
+
+def test_exact_medians(spark):
+    import random
+    import statistics
+
+    from quillmesh.functions.skew import dense_index, exact_medians
+
+    pick = random.Random(8)
+    rows = [(g, pick.choice([1.0, 2.5, pick.gauss(0, 1e6), None])) for g in "abc" for _ in range(pick.randrange(1, 400))] + [("one", 4.0), ("same", 2.0), ("same", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {g: statistics.median(v) for g in "abc" for v in [[x for h, x in rows if h == g and x is not None]]} | {"one": 4.0, "same": 2.0}
+    got = {r["g"]: r["median"] for r in exact_medians(df, ["g"], "v", bins=16).collect()}
+    assert got == pytest.approx(want)
+    numbered = dense_index(spark.range(500).select(F.col("id").alias("k")), "k").collect()
+    assert sorted(r["idx"] for r in numbered) == list(range(500))
+
+
+def test_splits_and_round_robin(spark):
+    from quillmesh.operators import benchmark
+
+    df = spark.createDataFrame([(i, date(2024, 1, 1 + i) if i < 10 else None) for i in range(11)], "id int, day date")
+    split = benchmark.split_by_date(F.col("day"), date(2024, 1, 2), date(2024, 1, 5), date(2024, 1, 8), date(2024, 1, 9), 1)
+    got = [r["s"] for r in df.select("id", split.alias("s")).orderBy("id").collect()]
+    assert got == ["before_range", "train", "train", "train", "embargo", "validation", "validation", "embargo", "test", "after_range", "undated"]
+    units = spark.createDataFrame([(i, ["x", "y"] if i < 3 else ["x"]) for i in range(20)] + [(99, None)], "id long, why array<string>")
+    out = sorted(benchmark.round_robin(units, "id", "why", ["y", "x"], 8, "s").collect(), key=lambda r: r["position"])
+    assert [r["reason"] for r in out][:4] == ["y", "x", "y", "x"] and len({r["id"] for r in out}) == 8
+    pairs = spark.createDataFrame([(f"i{i}", i % 4, (i * 7) % 4) for i in range(60)], "item string, a long, b long")
+    row = benchmark.kappa_interval(pairs, "item", replicates=40).first()
+    assert row["pairs"] == 60 and row["low"] <= evaluation.agreement(pairs).first()["weighted_kappa"] <= row["high"]
+    assert benchmark.kappa_interval(pairs.limit(0), "item").first()["low"] is None
