@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +31,29 @@ def build_session(app: str = "quillmesh", master: str | None = None, **conf: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory; columns are pruned by what is selected later."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers that do not find it on their path.
+
+    The driver serves a zip of the package's sources to the executors, once per
+    application; the file on the driver is removed when Python ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.TemporaryDirectory(prefix="quillmesh-")
+    _kept.append(folder)
+    path = Path(folder.name) / "quillmesh_sources.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path(root.name) / file.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+
+
+_kept: list[tempfile.TemporaryDirectory] = []
