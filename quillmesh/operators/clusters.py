@@ -34,6 +34,7 @@ def exact_clusters(df: DataFrame, identity: str, keys: list[Column]) -> DataFram
     )
     total = max(1, links.count())
     labels = ws.write(rows.select(F.col(identity).alias("id")).distinct().withColumn("label", F.col("id")), "labels")
+    members = max(1, labels.count())
     key = ["kind", "h", "h2"]
     while True:
         carried = links.join(labels, "id")
@@ -42,7 +43,8 @@ def exact_clusters(df: DataFrame, identity: str, keys: list[Column]) -> DataFram
         stepped = labels.join(back, "id", "left").select("id", F.least("label", F.coalesce("best", F.col("label"))).alias("label"))
         # A label is itself a row: follow it to its own label, which halves the rounds of a long chain.
         hop = stepped.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        later = ws.write(stepped.join(hop, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
+        uses = stepped.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).join(hop, "label")
+        later = ws.write(join_counted(stepped, uses, ["label"], "rows", members).select("id", F.col("next").alias("label")), "labels")
         moved = later.join(labels.withColumnRenamed("label", "was"), "id").filter("label <> was").limit(1).count()
         ws.drop(labels)
         labels = later
