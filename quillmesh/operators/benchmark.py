@@ -77,3 +77,43 @@ def round_robin(units: DataFrame, identity: str, reasons: str, order: list[str],
                 taken[queues[reason].pop(0)[identity]] = (reason, len(taken) + 1)
     kind = units.schema[identity].dataType.simpleString()
     return units.sparkSession.createDataFrame([(i, r, p) for i, (r, p) in taken.items()], f"{identity} {kind}, reason string, position long")
+
+
+def capped_sample(units: DataFrame, identity: str, category: str, members: str, target: int, cap: int, seed: str) -> DataFrame:
+    """(``identity``, category, position): one unit of each category, then by hash rank, with at most ``cap`` units per member.
+
+    Units are fetched in rank order, one hash bucket (a 4,096th of them) at a
+    time, until the sample is full; the driver holds the sample and one bucket.
+    A unit without members counts for none of its own.
+    """
+    keyed = units.filter(F.col(identity).isNotNull()).select(identity, category, members).withColumn("_k", rank_key(seed, F.col(identity)))
+    keyed = keyed.withColumn("_b", F.conv(F.substring("_k", 1, 3), 16, 10).cast("int"))
+    used: dict[str, int] = {}
+    taken: dict[object, tuple[str, int]] = {}
+
+    def admit(row) -> bool:
+        names = sorted(set(row[members] or [])) or ["_none_"]
+        if row[identity] in taken or any(used.get(n, 0) >= cap for n in names):
+            return False
+        taken[row[identity]] = (row[category], len(taken) + 1)
+        for n in names:
+            used[n] = used.get(n, 0) + 1
+        return True
+
+    starts = take_ranked(keyed.withColumn("_q", F.lit(cap + 1)), [category], "_q", [F.col("_k"), F.col(identity)], F.col("_b"))
+    first: dict[str, list] = {}
+    for row in starts.orderBy("_k", identity).collect():
+        first.setdefault(row[category], []).append(row)
+    for name in sorted(first, key=str):
+        next((r for r in first[name] if admit(r)), None)
+    buckets = [r["_b"] for r in keyed.select("_b").distinct().orderBy("_b").collect()]
+    step = 1
+    while buckets and len(taken) < target:
+        now, buckets = buckets[:step], buckets[step:]
+        step *= 2
+        for row in keyed.filter(F.col("_b").isin(now)).orderBy("_k", identity).toLocalIterator():
+            if len(taken) >= target:
+                break
+            admit(row)
+    kind = units.schema[identity].dataType.simpleString()
+    return units.sparkSession.createDataFrame([(i, c, p) for i, (c, p) in taken.items()], f"{identity} {kind}, category string, position long")

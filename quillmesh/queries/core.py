@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from quillmesh.functions.hashing import content_hash, short_id
 from quillmesh.functions.text import language_code, site
 from quillmesh.functions.urls import host_of, normalize_url
-from quillmesh.operators import alignment, bars, benchmark, clusters, evaluation, event_study, joins, linking, news, reporting, sampling, themes
+from quillmesh.operators import (
+    alignment, bars, baselines, benchmark, clusters, evaluation, event_study, joins, linking, news, reporting, sampling, themes, views,
+)
 from quillmesh.operators.timestamps import normalise_published
 from quillmesh.session import table
 from quillmesh.streaming.events import batch_tumbling
@@ -374,6 +376,42 @@ def challenge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.round_robin(rows, "article_id", "challenge_reason_codes", order, 120, "quillmesh")
 
 
+def _one_delivery(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    rows = table(spark, sf_dir, "articles").select("article_id", *columns)
+    return rows.groupBy("article_id").agg(*(F.max(c).alias(c) for c in columns))
+
+
+def baseline_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _one_delivery(spark, sf_dir, "title", "description", "body")
+    return baselines.predict(rows, "article_id", ALIASES, {"memory"}, ["lithography", "wafer carriers"])
+
+
+def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _label_pairs(spark, sf_dir).select(F.col("item").alias("article_id"), (F.col("a") >= 2).alias("_a"))
+    joined = baseline_predictions(spark, sf_dir).join(labels, "article_id")
+    return _round(evaluation.metrics(joined.groupBy("baseline").agg(*evaluation.confusion(F.col("predicted"), F.col("_a")))))
+
+
+def sampling_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _one_delivery(spark, sf_dir, "title", "description", "body")
+    summary = baselines.match_summary(rows, baselines.field_links(rows, "article_id", ALIASES, {"memory"}), "article_id")
+    out = baselines.sampling_category(summary, ["lithography", "foundry"], F.lit(False), ["agree"])
+    return out.groupBy("category").agg(F.count(F.lit(1)).alias("articles"))
+
+
+def capped_benchmark_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "relevance_annotations").groupBy("article_id").agg(
+        F.min("decision_reason_code").alias("decision_reason_code"), F.max("central_entity_ids").alias("central_entity_ids")
+    )
+    return benchmark.capped_sample(rows, "article_id", "decision_reason_code", "central_entity_ids", 150, 20, "quillmesh")
+
+
+def redacted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _one_delivery(spark, sf_dir, "title", "body")
+    shown = views.redact_bodies(rows, table(spark, sf_dir, "content_provenance"))
+    return shown.select("article_id", F.length("body").cast("long").alias("body_length"), views.excerpt(F.col("title"), 30).alias("title"))
+
+
 # --- event study and reports -------------------------------------------------
 
 

@@ -299,6 +299,10 @@ SQL: dict[str, str] = {
         FROM r, t WHERE a IS NOT NULL GROUP BY threshold), m AS (SELECT *, {_METRICS} FROM c)
       SELECT round(threshold, 4) AS threshold, round(tp, 4) AS tp, round(fp, 4) AS fp, round(fn, 4) AS fn, round(tn, 4) AS tn, round(precision, 4) AS precision, round(recall, 4) AS recall,
         round(specificity, 4) AS specificity, round(2 * precision * recall / nullif(precision + recall, 0), 4) AS f1, round((recall + specificity) / 2, 4) AS balanced_accuracy FROM m""",
+    "redacted_bodies": """WITH a AS (SELECT article_id, max(title) AS title, max(body) AS body FROM articles GROUP BY article_id),
+      p AS (SELECT article_id, bool_or(research_use_allowed AND storage_allowed) AS may FROM content_provenance GROUP BY article_id)
+      SELECT a.article_id, CASE WHEN may THEN length(body) END AS body_length, CASE WHEN length(title) > 30 THEN substr(title, 1, 29) || '…' ELSE title END AS title
+      FROM a LEFT JOIN p ON a.article_id = p.article_id""",
     "date_splits": """SELECT o_orderkey, CASE WHEN d IS NULL THEN 'undated' WHEN d < DATE '1992-06-01' THEN 'before_range' WHEN d > DATE '1998-06-30' THEN 'after_range'
         WHEN d > DATE '1996-06-23' AND d <= DATE '1996-06-30' THEN 'embargo' WHEN d <= DATE '1996-06-30' THEN 'train'
         WHEN d > DATE '1997-06-23' AND d <= DATE '1997-06-30' THEN 'embargo' WHEN d <= DATE '1997-06-30' THEN 'validation' ELSE 'test' END AS split

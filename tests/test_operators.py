@@ -215,3 +215,43 @@ def test_splits_and_round_robin(spark):
     row = benchmark.kappa_interval(pairs, "item", replicates=40).first()
     assert row["pairs"] == 60 and row["low"] <= evaluation.agreement(pairs).first()["weighted_kappa"] <= row["high"]
     assert benchmark.kappa_interval(pairs.limit(0), "item").first()["low"] is None
+
+
+def test_baselines(spark):
+    from quillmesh.operators import baselines
+
+    rows = [("a", "Acme rises", None, "text"), ("b", "x", "the arm moved", None), ("c", "said", None, None), ("d", "acmes", "", "y"), ("e", "q", None, "Acme and Beta")]
+    df = spark.createDataFrame(rows, "id string, title string, description string, body string")
+    got = {(r["id"], r["baseline"]): r["predicted"] for r in baselines.predict(df, "id", [("e1", "acme"), ("e2", "arm"), ("e3", "beta")], {"arm"}, ["AI"]).collect()}
+    assert [got[i, "naive_substring"] for i in "abcde"] == [True, True, True, True, True]
+    assert [got[i, "token_safe"] for i in "abcde"] == [True, None, False, False, True]
+    assert [got[i, "strict_title"] for i in "abcde"] == [True, False, False, False, False]
+    summary = baselines.match_summary(df, baselines.field_links(df, "id", [("e1", "acme"), ("e2", "arm"), ("e3", "beta")], {"arm"}), "id")
+    cats = {r["id"]: r["category"] for r in baselines.sampling_category(summary, ["said"], F.col("id") == "z", []).collect()}
+    assert cats == {"a": "company_in_title", "b": "ambiguous_alias", "c": "metadata_only", "d": "no_match", "e": "several_entities"}
+
+
+def test_views_and_reconcile(spark):
+    from quillmesh.operators import views
+    from quillmesh.plans.reconcile import reconcile
+
+    df = spark.createDataFrame([("abcdef", 1.5), ("ab", None), (None, 2.0)], "t string, v double")
+    assert [r[0] for r in df.select(views.excerpt(F.col("t"), 4)).collect()] == ["abc…", "ab", None]
+    assert views.blind(df, ["v"]).columns == ["t"]
+    with pytest.raises(ValueError):
+        views.blind(df.select(F.struct("v").alias("s")), ["v"])
+    assert views.markdown_table(df).splitlines()[2] == "| abcdef | 1.5 |"
+    assert reconcile({"all": 5, "in": 3, "out": 2}, {"all": ["in", "out"], "in": ["missing"]}) == []
+    assert reconcile({"all": 6, "in": 3, "out": 2}, {"all": ["in", "out"]}) == ["all is 6, its parts in + out are 5"]
+
+
+def test_capped_sample(spark):
+    from quillmesh.operators import benchmark
+
+    rows = [(i, f"c{i % 3}", ["hot"] if i % 2 else [f"m{i}"]) for i in range(120)] + [(500, "c9", None)]
+    df = spark.createDataFrame(rows, "id long, cat string, who array<string>")
+    out = benchmark.capped_sample(df, "id", "cat", "who", 30, 4, "s").collect()
+    by = dict((r[0], r) for r in rows)
+    assert len(out) == 30 and {r["category"] for r in out} == {"c0", "c1", "c2", "c9"}
+    assert sum(by[r["id"]][2] == ["hot"] for r in out) == 4
+    assert {r["id"] for r in out} == {r["id"] for r in benchmark.capped_sample(df, "id", "cat", "who", 30, 4, "s").collect()}
