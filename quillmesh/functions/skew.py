@@ -61,15 +61,19 @@ def take_ranked(df: DataFrame, groups: list[str], quota: str, rank: list[Column]
     return marked.filter(fits).select(*cols).unionByName(edge.select(*cols))
 
 
-def exact_medians(df: DataFrame, groups: list[str], value: str, bins: int = 2048) -> DataFrame:
+def exact_medians(df: DataFrame, groups: list[str], value: str, bins: int = 2048, ends: DataFrame | None = None) -> DataFrame:
     """(groups, median) of each group's non-null values, exact, without holding a group in one task.
 
     Values are counted in equal ranges between their group's least and greatest
     value; only the ranges that hold the middle are counted by single value.
     The groups are a bounded dimension, checked before they are broadcast.
+    ``ends`` may give (groups, _lo, _hi, _n), the least and greatest value and
+    their number, where they are already known.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
-    ends = bounded_broadcast(rows.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")))
+    if ends is None:
+        ends = rows.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    ends = bounded_broadcast(ends)
     width = F.col("_hi") - F.col("_lo")
     cell = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width * bins))).otherwise(0).cast("int")
     binned = rows.join(ends, groups).select(*groups, "_v", "_n", cell.alias("_b"))

@@ -32,14 +32,16 @@ def describe_groups(long: DataFrame, groups: list[str]) -> DataFrame:
     names = F.array(*(F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("member")) for g in groups))
     every = F.concat(F.array(F.struct(F.lit("all").alias("grouping"), F.lit("all").alias("member"))), names)
     # Written once: the statistics and the three passes of the medians would else each compute the responses again.
-    kept = Workspace(long.sparkSession, "responses").write(long.select("kind", "response", "value", *groups), "long")
+    ws = Workspace(long.sparkSession, "responses")
+    kept = ws.write(long.select("kind", "response", "value", *groups), "long")
     rows = kept.select("kind", "response", "value", F.inline(every)).filter("member is not null")
     keys = ["grouping", "member", "kind", "response"]
-    described = rows.groupBy(*keys).agg(
+    described = ws.write(rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("minimum"),
         F.max("value").alias("maximum"), F.avg((F.col("value") > 0).cast("double")).alias("positive_fraction"),
-    )
-    return described.join(exact_medians(rows, keys, "value"), keys).select(
+    ), "described")
+    ends = described.select(*keys, F.col("minimum").alias("_lo"), F.col("maximum").alias("_hi"), F.col("n").alias("_n"))
+    return described.join(exact_medians(rows, keys, "value", ends=ends), keys).select(
         *keys, "n", "mean", "median", "std", "minimum", "maximum", "positive_fraction"
     )
 
