@@ -12,7 +12,7 @@ from quillmesh.functions.hashing import content_hash, short_id
 from quillmesh.functions.text import language_code, site
 from quillmesh.functions.urls import host_of, normalize_url
 from quillmesh.operators import (
-    alignment, bars, baselines, benchmark, clusters, evaluation, event_study, joins, linking, news, reporting, sampling, themes, views,
+    alignment, bars, baselines, benchmark, clusters, evaluation, event_study, joins, linking, news, observations, reporting, sampling, themes, views,
 )
 from quillmesh.operators.timestamps import normalise_published
 from quillmesh.session import table
@@ -412,6 +412,45 @@ def redacted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("article_id", F.length("body").cast("long").alias("body_length"), views.excerpt(F.col("title"), 30).alias("title"))
 
 
+# --- the joined dataset ------------------------------------------------------
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order priorities as topics, their daily orders as attention, suppliers of a fifth of the nations as a topic's symbols."""
+    series = _bars(spark, sf_dir)
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("topic"), F.to_date("o_orderdate").alias("session")).agg(
+        F.count(F.lit(1)).alias("attention_count")
+    )
+    timed = news.attention_windows(counts.filter("topic is not null and session is not null"), "topic", "session", "attention_count", (30,))
+    timed = timed.withColumns({"available_at": F.col("session").cast("timestamp_ntz"), "cutoff": F.col("session").cast("timestamp_ntz") + F.expr("interval 9 hours")})
+    rank = F.substring("o_orderpriority", 1, 1).cast("int")
+    topics = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("topic"), rank.alias("k")).filter("topic is not null").distinct()
+    places = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"), (F.col("s_nationkey") % 5 + 1).alias("k"))
+    mapping = places.join(F.broadcast(topics), "k").select("topic", "symbol", F.lit(date(1993, 1, 1)).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    built = observations.build(
+        timed, mapping, bars.session_features(series), bars.forward_targets(series, _benchmark(series)),
+        ["attention_count", "attention_zscore_30", "attention_ratio_30", "count_change_1"], "attention_zscore_30", "daily_counts",
+    )
+    return built
+
+
+def observation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations.audit(_observations(spark, sf_dir))
+    return _round(rows.select(
+        "topic", "symbol", "session", F.col("inputs.news_attention_zscore_30").alias("attention"), F.col("inputs.mkt_prior_simple_return").alias("prior_return"),
+        F.col("inputs.mkt_prior_volume_zscore_20").alias("prior_volume_z"), F.col("contemporaneous.mkt_intraday_return").alias("intraday"),
+        F.col("targets.target_cumulative_return").alias("ahead"), F.col("quality.history_length").alias("history"),
+    ), 5)
+
+
+def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations.model_rows(_observations(spark, sf_dir))
+
+
+def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations.manifest(_observations(spark, sf_dir))
+
+
 # --- event study and reports -------------------------------------------------
 
 

@@ -375,6 +375,21 @@ cal AS (
 """
 
 
+SQL["observation_rows"] = (
+    _TARGETS
+    + """, att AS (SELECT o_orderpriority AS topic, CAST(o_orderdate AS DATE) AS session, count(*) AS c FROM orders GROUP BY ALL
+), attz AS (SELECT topic, session, CASE WHEN count(c) OVER p = 30 AND stddev_samp(c) OVER p > 0 THEN (c - avg(c) OVER p) / stddev_samp(c) OVER p END AS attention
+  FROM att WINDOW p AS (PARTITION BY topic ORDER BY session ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)
+), mk AS (
+  SELECT symbol, day, history_length, lag(simple_return) OVER w AS prior_return, CASE WHEN open > 0 THEN close / open - 1 END AS intraday,
+    lag(CASE WHEN n20 = 20 AND sv > 0 THEN (volume - mv) / sv END) OVER w AS prior_volume_z
+  FROM features WINDOW w AS (PARTITION BY symbol ORDER BY day)
+)
+SELECT a.topic, m.symbol, a.session, round(attention, 5) + 0.0::DOUBLE AS attention, round(prior_return, 5) + 0.0::DOUBLE AS prior_return,
+  round(prior_volume_z, 5) + 0.0::DOUBLE AS prior_volume_z, round(intraday, 5) + 0.0::DOUBLE AS intraday, round(cumulative_return, 5) + 0.0::DOUBLE AS ahead, history_length AS history
+FROM attz a JOIN supplier s ON s.s_nationkey % 5 + 1 = CAST(substr(a.topic, 1, 1) AS INTEGER) JOIN mk m ON m.symbol = s.s_suppkey AND m.day = a.session
+JOIN targets t ON t.symbol = m.symbol AND t.day = m.day WHERE a.session >= DATE '1993-01-01'"""
+)
 SQL["tumbling_counts"] = """SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total_value
 FROM events WHERE ts IS NOT NULL GROUP BY ALL"""
 SQL["session_alignment"] = (

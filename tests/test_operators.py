@@ -255,3 +255,21 @@ def test_capped_sample(spark):
     assert len(out) == 30 and {r["category"] for r in out} == {"c0", "c1", "c2", "c9"}
     assert sum(by[r["id"]][2] == ["hot"] for r in out) == 4
     assert {r["id"] for r in out} == {r["id"] for r in benchmark.capped_sample(df, "id", "cat", "who", 30, 4, "s").collect()}
+
+
+def test_observation_audits(spark):
+    from quillmesh.operators import observations
+
+    df = spark.sql(
+        "select 'o' as observation_id, 't' as topic, 's' as symbol, date'2024-01-02' as session, timestamp'2024-01-02 00:00:00' as feature_available_at, "
+        "timestamp'2024-01-02 09:00:00' as feature_cutoff, named_struct('news_a', 1.0, 'b', cast(null as double)) as inputs, named_struct('mkt_volume', 1.0) as contemporaneous"
+    )
+    assert observations.model_rows(observations.audit(df)).columns == ["observation_id", "topic", "symbol", "session", "news_a", "b"]
+    assert {r["field"]: r["missing"] for r in observations.manifest(df).collect()}["b"] == 1
+    for wrong in ("named_struct('target_x', 1.0)", "named_struct('mkt_volume', 1.0)"):
+        with pytest.raises(observations.Leakage, match="inputs hold"):
+            observations.audit(df.withColumn("inputs", F.expr(wrong)))
+    with pytest.raises(observations.Leakage, match="after its cutoff"):
+        observations.audit(df.withColumn("feature_available_at", F.expr("timestamp'2024-01-02 09:00:01'")))
+    with pytest.raises(ValueError, match="no bars"):
+        observations.require_symbols(spark.createDataFrame([("a",)], "symbol string"), ["a", "z"])
