@@ -155,3 +155,28 @@ def trailing_percentile(series: DataFrame, topic: str, session: str, value: str)
         return rows.assign(trailing_percentile=out)
 
     return series.groupBy(topic).applyInPandas(walk, schema)
+
+
+def merge_counts(counts: DataFrame, session: str, topic: str, count: str, terms: str) -> DataFrame:
+    """(session, topic, attention_count, source_days, term_hash): day counts that fall on one session add up.
+
+    ``term_hash`` identifies the distinct query terms behind a count, in order.
+    """
+    flat = counts.groupBy(session, topic).agg(
+        F.sum(count).alias("attention_count"), F.count(F.lit(1)).alias("source_days"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(terms)))).alias("_t")
+    )
+    return flat.withColumn("term_hash", F.sha2(F.to_json("_t"), 256)).drop("_t")
+
+
+def members_of_groups(articles: DataFrame, groups: DataFrame, identity: str) -> DataFrame:
+    """Articles that share a title or a URL with a duplicate group, each once per group.
+
+    ``groups`` is (group_id, title, url). The either-or condition is two equi
+    joins, so neither becomes a nested loop; null keys match nothing.
+    """
+    title, url = F.lower(F.trim("title")), F.trim("url")
+    rows = articles.select(identity, title.alias("_t"), url.alias("_u"))
+    keys = groups.select("group_id", title.alias("_t"), url.alias("_u"))
+    by_title = rows.filter("_t <> ''").join(keys.filter("_t <> ''").select("group_id", "_t"), "_t").select(identity, "group_id")
+    by_url = rows.filter("_u <> ''").join(keys.filter("_u <> ''").select("group_id", "_u"), "_u").select(identity, "group_id")
+    return by_title.unionByName(by_url).distinct()

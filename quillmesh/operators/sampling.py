@@ -56,3 +56,16 @@ def stratified_sample(df: DataFrame, identity: str, strata: Column, target: int,
     picked = take_ranked(keyed, ["stratum"], "quota", [F.col("_k"), F.col(identity)], bucket)
     share = F.col("quota") / F.col("size")
     return picked.select(identity, "stratum", share.alias("inclusion_probability"), (1 / share).alias("design_weight"))
+
+
+def merge_roles(representative: DataFrame, challenge: DataFrame, cluster: str) -> DataFrame:
+    """Both samples as one, a unit of both with both roles; weights come from the representative side, reasons from the other.
+
+    ``representative`` is (cluster, design_weight), ``challenge`` (cluster,
+    reasons); a unit drawn only for its challenge has no weight.
+    """
+    left = representative.groupBy(cluster).agg(F.max("design_weight").alias("design_weight"), F.lit(True).alias("_r"))
+    right = challenge.groupBy(cluster).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"), F.lit(True).alias("_c"))
+    both = left.join(right, cluster, "full_outer")
+    roles = F.array_compact(F.array(F.when(F.col("_r"), F.lit("representative")), F.when(F.col("_c"), F.lit("challenge"))))
+    return both.select(cluster, roles.alias("roles"), "design_weight", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))

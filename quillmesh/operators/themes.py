@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.skew import hash_bucket, take_ranked
 from quillmesh.functions.stats import Z95, benjamini_hochberg, erfc, fisher_exact, ratio
 
 # Weights of the composite, its penalties and its support ramp.
@@ -137,3 +138,24 @@ def composite_scores(scored: DataFrame, min_support: int, total_weeks: int, gene
         return F.row_number().over(Window.orderBy(F.col(metric).desc_nulls_last(), F.col("theme")))
 
     return ranked.withColumns({"composite_rank": place("composite_score"), "lift_rank": place("lift"), "support_rank": place("theme_seed")})
+
+
+def evidence_samples(records: DataFrame, record: str, codes: str, keep: list[str], size: int) -> DataFrame:
+    """(theme, samples): the ``size`` records of each theme of least hash, as structs; the same records on every run.
+
+    The records are chosen by hash buckets (`functions.skew.take_ranked`), so a
+    theme of a third of all records is never sorted or collected as a whole.
+    """
+    rows = records.select(
+        F.explode(F.array_distinct(codes)).alias("theme"), F.xxhash64(F.col(record)).alias("_h"), F.col(record).alias("_id"), F.struct(record, *keep).alias("sample"),
+        F.lit(size).alias("_q"),
+    )
+    picked = take_ranked(rows, ["theme"], "_q", [F.col("_h"), F.col("_id")], hash_bucket(F.col("_h")))
+    ordered = F.array_sort(F.collect_list(F.struct(hash_bucket(F.col("_h")).alias("b"), "_h", "_id", "sample")))
+    return picked.groupBy("theme").agg(F.transform(ordered, lambda x: x["sample"]).alias("samples"))
+
+
+def approximate_top(records: DataFrame, value: str, size: int) -> DataFrame:
+    """(value, rows): a sketch of the most frequent non-null values; exact where they are fewer than its counters."""
+    items = records.filter(F.col(value).isNotNull()).agg(F.expr(f"approx_top_k(`{value}`, {int(size)}, 10000)").alias("top"))
+    return items.select(F.inline("top")).toDF("value", "rows")

@@ -271,6 +271,37 @@ def seed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("seed").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("source").alias("sources"))
 
 
+def theme_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return themes.evidence_samples(_theme_records(spark, sf_dir), "o_orderkey", "codes", ["source"], 5)
+
+
+def approximate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return themes.approximate_top(table(spark, sf_dir, "documents"), "source", 40)
+
+
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").filter("ts is not null").select("ts", "event_type", "user_id")
+    daily = events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    windows = alignment.day_windows(daily, F.col("day"))
+    placed = alignment.align_days(daily, "day", windows).withColumn("terms", F.array("event_type"))
+    return news.merge_counts(placed, "session", "event_type", "n", "terms").drop("term_hash")
+
+
+def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _one_delivery(spark, sf_dir, "title", "url")
+    same = rows.groupBy(F.lower(F.trim("title")).alias("k")).agg(F.min("article_id").alias("group_id"), F.count(F.lit(1)).alias("n"), F.min("title").alias("title"), F.min("url").alias("url"))
+    return news.members_of_groups(rows, same.filter("n > 1").select("group_id", "title", "url"), "article_id")
+
+
+def merged_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "sampled_units")
+    weight = F.when(~F.isnan("design_weight"), F.col("design_weight"))
+    first = units.filter("not double_annotate").select("cluster_id", weight.alias("design_weight"))
+    other = units.filter(F.size("challenge_reason_codes") > 0).select("cluster_id", F.col("challenge_reason_codes").alias("reasons"))
+    out = sampling.merge_roles(first, other, "cluster_id")
+    return _round(out.select("cluster_id", F.array_join("roles", "|").alias("roles"), "design_weight", F.array_join("reasons", "|").alias("reasons")))
+
+
 # --- duplicates and linking --------------------------------------------------
 
 

@@ -390,6 +390,20 @@ SELECT a.topic, m.symbol, a.session, round(attention, 5) + 0.0::DOUBLE AS attent
 FROM attz a JOIN supplier s ON s.s_nationkey % 5 + 1 = CAST(substr(a.topic, 1, 1) AS INTEGER) JOIN mk m ON m.symbol = s.s_suppkey AND m.day = a.session
 JOIN targets t ON t.symbol = m.symbol AND t.day = m.day WHERE a.session >= DATE '1993-01-01'"""
 )
+SQL["session_counts"] = (
+    _calendar(range(2023, 2026))
+    + """, d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL),
+a AS (SELECT event_type, n, (SELECT min(c.session) FROM cal c WHERE c.session > d.day) AS session FROM d)
+SELECT session, event_type, sum(n)::BIGINT AS attention_count, count(*) AS source_days FROM a GROUP BY ALL"""
+)
+SQL["approximate_sources"] = "SELECT source AS value, count(*) AS rows FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY 2 DESC LIMIT 40"
+SQL["group_members"] = """WITH r AS (SELECT article_id, max(title) AS title, max(url) AS url FROM articles GROUP BY article_id),
+g AS (SELECT lower(trim(title)) AS k, min(article_id) AS group_id, min(url) AS url FROM r GROUP BY 1 HAVING count(*) > 1)
+SELECT DISTINCT article_id, group_id FROM r JOIN g ON (lower(trim(r.title)) = g.k AND g.k <> '') OR (trim(r.url) = trim(g.url) AND trim(g.url) <> '')"""
+SQL["merged_roles"] = """WITH f AS (SELECT cluster_id, max(CASE WHEN isnan(design_weight) THEN NULL ELSE design_weight END) AS design_weight FROM sampled_units WHERE NOT double_annotate GROUP BY 1),
+o AS (SELECT cluster_id, array_to_string(list_sort(list_distinct(flatten(list(challenge_reason_codes)))), '|') AS reasons FROM sampled_units WHERE len(challenge_reason_codes) > 0 GROUP BY 1)
+SELECT coalesce(f.cluster_id, o.cluster_id) AS cluster_id, concat_ws('|', CASE WHEN f.cluster_id IS NOT NULL THEN 'representative' END, CASE WHEN o.cluster_id IS NOT NULL THEN 'challenge' END) AS roles,
+  round(design_weight, 6) AS design_weight, coalesce(reasons, '') AS reasons FROM f FULL JOIN o ON f.cluster_id = o.cluster_id"""
 SQL["tumbling_counts"] = """SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total_value
 FROM events WHERE ts IS NOT NULL GROUP BY ALL"""
 SQL["session_alignment"] = (
