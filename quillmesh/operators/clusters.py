@@ -12,6 +12,8 @@ from quillmesh.lineage import Workspace
 
 #: Words per shingle and the least Jaccard similarity of a near duplicate.
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
+#: Shared shingles, of 16 bytes each, that may be broadcast.
+BROADCAST_SHINGLES = 1_000_000
 
 
 def exact_clusters(df: DataFrame, identity: str, keys: list[Column]) -> DataFrame:
@@ -81,14 +83,21 @@ def near_duplicates(df: DataFrame, identity: str, text: str, size: int = SHINGLE
     hashed = ws.write(base, "sets")
     key = [F.xxhash64("set").alias("k1"), F.hash("set").alias("k2")]
     classes = hashed.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = join_counted(hashed.select("id", *key), classes, ["k1", "k2"], "copies", max(1, hashed.count())).select(F.col("id").alias(identity), F.col("rep").alias("class_id"))
+    members = ws.write(
+        join_counted(hashed.select("id", *key), classes, ["k1", "k2"], "copies", max(1, hashed.count())).select(F.col("id").alias(identity), F.col("rep").alias("class_id")),
+        "members",
+    )
     reps = ws.write(hashed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
+    ws.drop(hashed)
     # Document frequency of shingles over representatives, which orders the prefixes.
     grams = reps.select("id", F.size("set").alias("n"), F.explode("set").alias("g"))
     rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     shared = ws.write(rarity.filter("df > 1"), "shared")
-    total = shared.agg(F.sum("df")).first()[0] or 1
-    known = join_counted(grams, shared, ["g"], "df", int(total))
+    # Most shingles stand in one document only. While the shared ones are few, their broadcast keeps the rest out of the shuffle.
+    if shared.count() <= BROADCAST_SHINGLES:
+        known = grams.join(F.broadcast(shared), "g")
+    else:
+        known = join_counted(grams, shared, ["g"], "df", int(shared.agg(F.sum("df")).first()[0] or 1))
     # A shingle of one document alone cannot be shared; such shingles are the rarest, so they fill a prefix first.
     alone = known.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
     room = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("gs"))
