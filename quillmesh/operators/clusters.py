@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.skew import join_counted
+from quillmesh.functions.skew import bounded_broadcast, join_counted
 from quillmesh.lineage import Workspace
 
 #: Words per shingle and the least Jaccard similarity of a near duplicate.
@@ -73,43 +73,44 @@ def near_duplicates(df: DataFrame, identity: str, text: str, size: int = SHINGLE
     expanded into pairs. The join is exact: two sets with Jaccard similarity t
     share one of their first n - ceil(t n) + 1 shingles in any common order,
     and shingles are ordered rarest first. Sets are compared only if their
-    sizes allow the threshold. Texts without words are in no class.
+    sizes allow the threshold. Texts without words are in no class; repeated rows
+    count once.
     """
     ws = Workspace(df.sparkSession, "neardup")
     # Words are a column of their own: inside the shingle function they would be split again for every shingle.
     worded = df.filter(F.col(identity).isNotNull()).select(F.col(identity).alias("id"), words(F.col(text)).alias("words"))
     # The filter is on the words for the same reason: on the shingles it would be pushed below that column.
     base = worded.filter(F.size("words") > 0).select("id", F.sort_array(shingles(F.col("words"), size)).alias("set"))
-    hashed = ws.write(base, "sets")
-    key = [F.xxhash64("set").alias("k1"), F.hash("set").alias("k2")]
-    classes = hashed.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = ws.write(
-        join_counted(hashed.select("id", *key), classes, ["k1", "k2"], "copies", max(1, hashed.count())).select(F.col("id").alias(identity), F.col("rep").alias("class_id")),
-        "members",
-    )
-    reps = ws.write(hashed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
-    ws.drop(hashed)
-    # Document frequency of shingles over representatives, which orders the prefixes.
-    grams = reps.select("id", F.size("set").alias("n"), F.explode("set").alias("g"))
-    rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    shared = ws.write(rarity.filter("df > 1"), "shared")
+    sets = ws.write(base.select("id", "set", F.size("set").alias("n"), F.xxhash64("set").alias("k1"), F.hash("set").alias("k2")), "sets")
+    # Of an identity that comes with several texts, the text of least key counts.
+    chosen = sets.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2")
+    classes = chosen.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    total = max(1, sets.count())
+    members = ws.write(join_counted(chosen, classes, ["k1", "k2"], "copies", total).select("id", "k1", F.col("rep").alias("class_id")), "members")
+    reps = members.filter(F.col("id") == F.col("class_id")).select("id", "k1")
+    # Document frequency of shingles, which orders the prefixes.
+    grams = sets.select("id", "k1", "n", F.explode("set").alias("g"))
+    shared = ws.write(grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
     # Most shingles stand in one document only. While the shared ones are few, their broadcast keeps the rest out of the shuffle.
     if shared.count() <= BROADCAST_SHINGLES:
         known = grams.join(F.broadcast(shared), "g")
     else:
         known = join_counted(grams, shared, ["g"], "df", int(shared.agg(F.sum("df")).first()[0] or 1))
     # A shingle of one document alone cannot be shared; such shingles are the rarest, so they fill a prefix first.
-    alone = known.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    listed = known.join(reps, ["id", "k1"], "left_semi").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("df", "g"))).alias("gs"))
     room = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("gs"))
-    prefix = alone.filter(room > 0).select("id", "n", F.explode(F.slice("gs", F.lit(1), F.greatest(F.lit(1), room.cast("int")))).alias("x")).select("id", "n", "x.g")
+    prefix = listed.filter(room > 0).select("id", "n", F.explode(F.slice("gs", F.lit(1), F.greatest(F.lit(1), room.cast("int")))).alias("x")).select("id", "n", "x.g")
     left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
     fits = (F.col("na") >= F.ceil(F.col("nb") * threshold)) & (F.col("nb") >= F.ceil(F.col("na") * threshold))
-    pairs = left.join(right, "g").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    sets = reps.select("id", "set")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
+    pairs = ws.write(left.join(right, "g").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "pairs")
+    # Only the sets of candidates are moved for the exact comparison.
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(reps, "id")
+    need = sets.join(bounded_broadcast(ends), ["id", "k1"], "left_semi").select("id", "set").dropDuplicates(["id"])
+    both = pairs.join(need.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(need.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     similarity = common / (F.size("sa") + F.size("sb") - common)
-    return both.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold), members
+    scored = both.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
+    return scored, members.select(F.col("id").alias(identity), "class_id")
 
 
 def links_per_document(df: DataFrame, identity: str, text: str) -> DataFrame:
