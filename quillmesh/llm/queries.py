@@ -70,7 +70,8 @@ def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.krippendorff(consensus.valid_labels(table(spark, sf_dir, "relevance_annotations")))
+    out = consensus.krippendorff(consensus.valid_labels(table(spark, sf_dir, "relevance_annotations")))
+    return out.select("metric", "items", F.round("pairable", 6).alias("pairable"), F.round("alpha", 6).alias("alpha"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,47 @@ WITH units AS (
 )
 """
 
+_LINES = r"""
+WITH bodies AS (
+  SELECT DISTINCT article_id, regexp_replace(lower(trim(domain)), '^www\.', '') AS site, body FROM articles
+  WHERE article_id IS NOT NULL AND domain IS NOT NULL AND body IS NOT NULL
+), lines AS (
+  SELECT article_id, site, body, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no FROM bodies
+), keyed AS (SELECT *, regexp_replace(lower(line), '[^\p{L}]+', '', 'g') AS k FROM lines
+), repeated AS (SELECT site, k FROM keyed WHERE k <> '' GROUP BY ALL HAVING count(DISTINCT article_id) >= 5)
+"""
+
+_AGREEMENT = """
+WITH last AS (
+  SELECT article_id AS item, relevance_label AS label FROM relevance_annotations WHERE article_id IS NOT NULL AND annotator_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY article_id, lower(trim(annotator_id)) ORDER BY annotation_completed_at DESC NULLS LAST, relevance_label DESC NULLS LAST) = 1
+), per AS (SELECT item, label, count(*) AS n FROM last WHERE label BETWEEN 0 AND 3 GROUP BY ALL
+), sized AS (SELECT item, sum(n) AS m FROM per GROUP BY item HAVING sum(n) > 1
+), pairs AS (
+  SELECT x.label AS c, y.label AS k, sum(x.n * (y.n - CASE WHEN x.label = y.label THEN 1 ELSE 0 END) / (m - 1)) AS o
+  FROM per x JOIN per y ON x.item = y.item JOIN sized s ON s.item = x.item GROUP BY ALL
+), margin AS (SELECT c, sum(o) AS nc FROM pairs GROUP BY c
+), whole AS (SELECT sum(nc) AS n FROM margin
+), cells AS (
+  SELECT a.c, b.c AS k, a.nc * b.nc AS chance, coalesce(o, 0) AS o, (a.c - b.c) * (a.c - b.c) AS di,
+    pow((SELECT sum(nc) FROM margin g WHERE g.c BETWEEN least(a.c, b.c) AND greatest(a.c, b.c)) - (a.nc + b.nc) / 2, 2) AS dor
+  FROM margin a JOIN margin b ON a.c <> b.c LEFT JOIN pairs p ON p.c = a.c AND p.k = b.c
+), alphas AS (
+  SELECT unnest(['nominal', 'ordinal', 'interval']) AS metric,
+    unnest([1 - (n - 1) * sum(o) / sum(chance), 1 - (n - 1) * sum(o * dor) / sum(chance * dor), 1 - (n - 1) * sum(o * di) / sum(chance * di)]) AS alpha, n AS pairable
+  FROM cells, whole GROUP BY n
+)
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": _LINES + "SELECT DISTINCT article_id, line_no FROM keyed JOIN repeated USING (site, k)",
+    "p1_clean": _LINES
+    + """, kept AS (
+  SELECT article_id, body, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE r.k IS NULL) AS clean, count(r.k) AS lines_removed
+  FROM keyed LEFT JOIN repeated r ON r.site = keyed.site AND r.k = keyed.k GROUP BY ALL)
+SELECT article_id, coalesce(clean, '') AS body, lines_removed FROM kept""",
+    "p4_agreement": _AGREEMENT
+    + "SELECT metric, (SELECT count(*) FROM sized) AS items, round(pairable, 6) AS pairable, round(alpha, 6) AS alpha FROM alphas",
     "p2_found": _GROUPS + "SELECT article_id, group_id FROM groups",
     "p2_group_sizes": _GROUPS
     + ", sizes AS (SELECT group_id, count(*) AS articles FROM groups GROUP BY group_id)"
