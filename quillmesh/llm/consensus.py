@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.skew import bounded_broadcast
 from quillmesh.functions.text import squash
 from quillmesh.lineage import Workspace
 
@@ -21,6 +20,8 @@ CLASSES = 4
 #: Dirichlet priors: of the classes, and of a row's own and other labels.
 CLASS_PRIOR, OWN_PRIOR, OTHER_PRIOR = 1.0, 1.5, 0.6
 ROUNDS, CHECK_EVERY, TOLERANCE = 12, 3, 1e-3
+#: Rows of annotator and label that may be broadcast; their number is counted first.
+BROADCAST_CELLS = 100_000
 #: Annotators with fewer items are not judged.
 LEAST_ITEMS = 6
 #: An annotator whose labels follow the consensus less than this (correlation) says nothing about it.
@@ -67,6 +68,7 @@ class Consensus:
         share = [F.avg((F.col("label") == k).cast("double")).alias(f"q{k}") for k in range(CLASSES)]
         self.items = self.ws.write(self.labels.groupBy("item").agg(*share), "items")
         self.confusion = self._confusion()
+        self._few = self.confusion.count() <= BROADCAST_CELLS
         for done in range(1, rounds + 1):
             later = self.ws.write(self._expect(), "items")
             # Whether the posteriors still move is looked at every third round only.
@@ -84,31 +86,37 @@ class Consensus:
         return later.join(old, "item").agg(F.max(gap)).first()[0] or 0.0
 
     def _confusion(self) -> DataFrame:
-        """(annotator, label, n0..): expected labels of each true class, with their priors."""
-        sums = [F.sum(f"q{k}").alias(f"n{k}") for k in range(CLASSES)]
-        seen = self.labels.join(self.items, "item").groupBy("annotator", "label").agg(*sums)
-        # An annotator's unused labels still have their prior weight.
-        grid = seen.groupBy("annotator").agg(F.count(F.lit(1)).alias("_")).select(
-            "annotator", F.explode(F.array(*(F.lit(k) for k in range(CLASSES)))).alias("label")
+        """(annotator, label, n0.., t0..): expected labels of each true class with their priors, and their totals per class.
+
+        All of an annotator's cells come from one aggregation, so labels it
+        never gave are there with their prior weight.
+        """
+        grid = [(label, k) for label in range(CLASSES) for k in range(CLASSES)]
+        sums = self.labels.join(self.items, "item").groupBy("annotator").agg(
+            *(F.sum(F.when(F.col("label") == label, F.col(f"q{k}")).otherwise(0.0)).alias(f"s{label}{k}") for label, k in grid)
         )
-        prior = [
-            (F.coalesce(f"n{k}", F.lit(0.0)) + F.when(F.col("label") == k, OWN_PRIOR).otherwise(OTHER_PRIOR)).alias(f"n{k}")
-            for k in range(CLASSES)
-        ]
-        return self.ws.write(grid.join(seen, ["annotator", "label"], "left").select("annotator", "label", *prior), "confusion")
+        cell = lambda label, k: F.col(f"s{label}{k}") + (OWN_PRIOR if label == k else OTHER_PRIOR)
+        totals = [sum((cell(label, k) for label in range(1, CLASSES)), cell(0, k)).alias(f"t{k}") for k in range(CLASSES)]
+        rows = F.array(*(
+            F.struct(F.lit(label).alias("label"), *(cell(label, k).alias(f"n{k}") for k in range(CLASSES)), *totals) for label in range(CLASSES)
+        ))
+        return self.ws.write(sums.select("annotator", F.inline(rows)), "confusion")
 
-    def _expect(self) -> DataFrame:
-        """Items' posteriors from the expected log probabilities of their labels."""
-        rows = self.confusion.groupBy("annotator").agg(*(F.sum(f"n{k}").alias(f"t{k}") for k in range(CLASSES)))
-        terms = self.confusion.join(rows, "annotator").select(
+    def _evidence(self) -> DataFrame:
+        """(annotator, label, e0..): expected log probability of the label under each class; broadcast while annotators are few."""
+        terms = self.confusion.select(
             "annotator", "label", *((digamma(F.col(f"n{k}")) - digamma(F.col(f"t{k}"))).alias(f"e{k}") for k in range(CLASSES))
         )
+        return F.broadcast(terms) if self._few else terms
+
+    def _expect(self) -> DataFrame:
+        """Items' posteriors from the expected log probabilities of their labels."""
         prior = self.items.agg(
             *((F.coalesce(F.sum(f"q{k}"), F.lit(0.0)) + CLASS_PRIOR).alias(f"c{k}") for k in range(CLASSES))
         )
         total = sum((F.col(f"c{k}") for k in range(1, CLASSES)), F.col("c0"))
         prior = prior.select(*((digamma(F.col(f"c{k}")) - digamma(total)).alias(f"c{k}") for k in range(CLASSES)))
-        sums = self.labels.join(bounded_broadcast(terms), ["annotator", "label"]).groupBy("item").agg(
+        sums = self.labels.join(self._evidence(), ["annotator", "label"]).groupBy("item").agg(
             *(F.sum(f"e{k}").alias(f"e{k}") for k in range(CLASSES))
         )
         logs = sums.crossJoin(F.broadcast(prior)).select("item", *((F.col(f"e{k}") + F.col(f"c{k}")).alias(f"l{k}") for k in range(CLASSES)))
@@ -133,9 +141,7 @@ class Consensus:
         in its normal approximation.
         """
         q = [F.col(f"q{k}") for k in range(CLASSES)]
-        own = self.labels.join(self.items, "item").join(
-            bounded_broadcast(self._evidence()), ["annotator", "label"]
-        )
+        own = self.labels.join(self.items, "item").join(self._evidence(), ["annotator", "label"])
         # Take the annotator's own evidence out of the item's posterior before comparing with it.
         freed = [q[k] * F.exp(-F.col(f"e{k}")) for k in range(CLASSES)]
         mass = sum(freed[1:], freed[0])
@@ -158,12 +164,6 @@ class Consensus:
             follow.alias("follow"),
         )
 
-    def _evidence(self) -> DataFrame:
-        rows = self.confusion.groupBy("annotator").agg(*(F.sum(f"n{k}").alias(f"t{k}") for k in range(CLASSES)))
-        return self.confusion.join(rows, "annotator").select(
-            "annotator", "label", *((digamma(F.col(f"n{k}")) - digamma(F.col(f"t{k}"))).alias(f"e{k}") for k in range(CLASSES))
-        )
-
     def unreliable(self) -> DataFrame:
         """(annotator_id) of those with enough items whose labels tell nothing about the consensus or run against it."""
         judged = self.reliability()
