@@ -8,22 +8,26 @@ equal units however far apart, so that a surname or number recognised by its
 context in one place carries its label to the others. Loopy belief propagation
 over all graphs of a batch gives each node's label.
 
-The field is fitted on a bounded sample of documents whose nodes are labelled by
-the cue words around them; nodes without a cue are left open. Name stems, the
-units' features and the edge potentials all come from that sample.
+Name nodes are the words that a cue introduces in any document, every repetition
+of such a word in its document, and the words whose stem names people often
+enough, by counts over all documents.
+
+The field is fitted on a bounded sample of distinct texts whose nodes are labelled
+by the cue words around them; nodes without a cue are left open. The units'
+features and the edge potentials come from that sample.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,10 +64,14 @@ _PLACE_CUE = re.compile(
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[’'-][^\W\d_]+)*"
 _INITIAL = r"[^\W\d_a-zß-öø-ÿ]\."
 _TITLE = rf"(?:(?:{'|'.join(TITLES)})\.?|M\.)"
-_NAME_CUE = re.compile(
-    r"(?:\bsaid|\b[Rr]eporting by|\bnamed|\b[Aa]ccording to|\b[Aa]sked by|\bsagte|\bestime|\bdirigé par|\bdijo|\bnombró a|\bel recibo)\s+"
-    rf"(?:{_TITLE} )?((?:{_INITIAL} ?|{_CAP} ){{0,3}}{_CAP})(?![^\W\d_])"
-)
+_RUN = rf"((?:{_INITIAL} ?|{_CAP} ){{0,3}}{_CAP})(?![^\W\d_])"
+_CUES = (
+    "said", "Reporting by", "reporting by", "named", "According to", "according to", "Asked by", "asked by", "sagte", "estime", "dirigé par",
+    "dijo", "nombró a", "el recibo",
+)
+_NAME_CUE = re.compile(rf"\b(?:{'|'.join(_CUES)})\s+(?:{_TITLE} )?{_RUN}")
+_TITLE_CUE = re.compile(rf"(?<!\w){_TITLE}\s+{_RUN}")
+_CAPITAL = re.compile(rf"(?<![\w@.'’+-]){_CAP}")
 _NAME_BEFORE = re.compile(
     rf"(?:\bsaid|\bby|\bnamed|\bto|\bsagte|\bestime|\bpar|\bdijo|\bnombró a|\brecibo|would not discuss\.|{_TITLE})\s+(?:{_TITLE}\s+)?$"
 )
@@ -71,6 +79,7 @@ _NAME_AFTER = re.compile(
     r"(?: leitet| to run the| direct|, (?:the|an?|who|head|now|con|DNI|NIF)\b| would not| of [A-Z][a-z]+| in [A-Z][a-z]+\.)"
 )
 _NO_NAME_AFTER = re.compile(rf"(?: (?:Tooling|Inc|Ltd|GmbH|Co|Corp|Group)\b| & Sons| (?:{_STREETS})\b)")
+_COMPANY_WORD = re.compile(r"(?:Tooling|Inc|Ltd|GmbH|Co|Corp|Group)$")
 _COMPANY_AFTER = re.compile(r" (?:and|&) [A-Z][\w-]+ &")
 
 _AT = re.compile(r"@|＠| ?\(at\) ?| ?\[at\] ?")
@@ -209,29 +218,62 @@ def _addresses(text: str) -> Iterator[Unit]:
 _LEFT = re.compile(rf"(?:(?<=\s)|(?<=^)|(?<=[“„«\"'(>。]))({_CAP}|{_INITIAL}|{_TITLE})\s$")
 
 
+def _surname(found: re.Match[str]) -> tuple[int, int]:
+    """Span of the last word of a run that a cue introduces, without a possessive s."""
+    word = re.sub(r"['’]s$", "", re.split(r"[ .]", found[1])[-1])
+    start = found.end(1) - len(re.split(r"[ .]", found[1])[-1])
+    return start, start + len(word)
+
+
+def _introduced(text: str) -> Iterator[re.Match[str]]:
+    """Word runs that a name cue or a title introduces."""
+    if any(cue in text for cue in _CUES):
+        yield from _NAME_CUE.finditer(text)
+    if "M." in text or any(title in text for title in TITLES):
+        yield from _TITLE_CUE.finditer(text)
+
+
+def _surnames(text: str, anchors: re.Pattern[str] | None) -> list[tuple[int, int]]:
+    """Spans of possible surnames: words with a name stem, words after a cue, and every repetition of the latter."""
+    spans = [found.span() for found in anchors.finditer(text)] if anchors is not None else []
+    stemmed = len(spans)
+    forms = set()
+    for found in _introduced(text):
+        start, end = found.span(1)
+        word = slice(*_surname(found))
+        company = _COMPANY_WORD.match(text[word]) or _NO_NAME_AFTER.match(text, word.stop)
+        if not company and not any(a < end and b > start for a, b in spans[:stemmed]):
+            spans.append((word.start, word.stop))
+            forms.add(text[word].lower())
+    if forms:
+        for found in _CAPITAL.finditer(text):
+            form = re.sub(r"['’]s$", "", found[0])
+            if form.lower() in forms and not any(a < found.end() and b > found.start() for a, b in spans):
+                spans.append((found.start(), found.start() + len(form)))
+    return sorted(set(spans))
+
+
 def _names(text: str, anchors: re.Pattern[str] | None, taken: list[tuple[int, int]]) -> Iterator[list[Unit]]:
     """Each possible name as its nodes, the surname last."""
-    if anchors is not None:
-        at = 0
-        for found in anchors.finditer(text):
-            start, end = found.span()
-            while at < len(taken) and taken[at][1] <= start:
-                at += 1
-            if at < len(taken) and taken[at][0] < end and taken[at][1] > start:
-                continue
-            surname = Unit("P", start, end, found[0].lower())
-            given: list[Unit] = []
-            left = start
-            while len(given) < 4:
-                token = _LEFT.search(text[max(0, left - 24) : left])
-                if not token or "\n" in token[0]:
-                    break
-                begin = left - len(token[0])
-                if begin and text[begin - 1].isalnum():
-                    break
-                given.insert(0, Unit("G", begin, begin + len(token[1]), token[1].lower()))
-                left = begin
-            yield _named(text, given, surname)
+    at = 0
+    for start, end in _surnames(text, anchors):
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if at < len(taken) and taken[at][0] < end and taken[at][1] > start:
+            continue
+        surname = Unit("P", start, end, text[start:end].lower())
+        given: list[Unit] = []
+        left = start
+        while len(given) < 4:
+            token = _LEFT.search(text[max(0, left - 24) : left])
+            if not token or "\n" in token[0]:
+                break
+            begin = left - len(token[0])
+            if begin and text[begin - 1].isalnum():
+                break
+            given.insert(0, Unit("G", begin, begin + len(token[1]), token[1].lower()))
+            left = begin
+        yield _named(text, given, surname)
     for found in _HAN_NAMES.finditer(text) if not text.isascii() else ():
         unit = Unit("H", found.start(), found.end(), found[0])
         unit.features = _context(text, unit)
@@ -362,28 +404,47 @@ def _mask(units: list[Unit]) -> np.ndarray:
     return np.stack([rows[u.kind] for u in units]) if units else np.zeros((0, len(LABELS)))
 
 
-def name_stems(texts: list[str]) -> str:
-    """Pattern of possible surnames: words whose first three or four letters stand in name contexts often enough."""
+def _stems(word: str) -> set[str]:
+    """The first three and four letters of a word, or all of a shorter one."""
+    return {word[:3].lower(), word[:4].lower()}
+
+
+def stem_counts(texts: Iterable[str | None]) -> dict[str, list[int]]:
+    """Stem: how often a word with it stands after a name cue, and how often at all."""
     named: Counter[str] = Counter()
     every: Counter[str] = Counter()
-    capital = re.compile(r"(?<![^\W_@.-])[^\W\d_a-zß-öø-ÿ][^\W\d_]{3,}")
     for text in texts:
-        for found in _NAME_CUE.finditer(text):
-            words = re.findall(r"[^\W\d_]{4,}", found[1])
-            if words:
-                named.update((words[-1][:3].lower(), words[-1][:4].lower()))
-        for word in capital.findall(text):
-            every.update((word[:3].lower(), word[:4].lower()))
-    # A shorter stem stands for more words, so more of them must be names.
-    short = {s for s, n in named.items() if len(s) == 3 and n >= 4 and n >= 0.3 * every[s]}
-    stems = short | {s for s, n in named.items() if len(s) == 4 and n >= 2 and n >= 0.12 * every[s] and s[:3] not in short}
-    cases = sorted({c for s in stems for c in (s.capitalize(), s.upper())})
-    return rf"(?<![\w@.'’+-])(?:{'|'.join(map(re.escape, cases))})[^\W\d_]*(?:-[^\W\d_]+)?(?![\w@])" if cases else ""
+        if text:
+            every.update(_CAPITAL.findall(text))
+            named.update(text[slice(*_surname(found))] for found in (_NAME_CUE.finditer(text) if any(cue in text for cue in _CUES) else ()))
+    counts: dict[str, list[int]] = {}
+    for i, words in enumerate((named, every)):
+        for word, n in words.items():
+            for stem in _stems(word):
+                counts.setdefault(stem, [0, 0])[i] += n
+    return counts
 
 
-def fit(texts: list[str]) -> Field:
-    """The field fitted on some texts; without any it labels nothing but by shape."""
-    anchors = name_stems(texts)
+def name_stems(counts: dict[str, list[int]]) -> str:
+    """Pattern of possible surnames: words whose first three or four letters stand in name contexts often enough."""
+    # A shorter stem stands for more words, so more of them must be names.
+    short = {s for s, (n, every) in counts.items() if 1 < len(s) < 4 and n and n >= 0.3 * every}
+    stems = short | {s for s, (n, every) in counts.items() if len(s) == 4 and n and n >= 0.12 * every and s[:3] not in short}
+    # A longer stem that names hardly anyone is left out of its shorter one; the shorter one's rate counts as one word.
+    rate = {s: counts[s][0] / max(1, counts[s][1]) for s in short}
+    barred: dict[str, set[str]] = {}
+    for s, (n, every) in counts.items():
+        if len(s) == 4 and s[:3] in short and n + rate[s[:3]] < 0.12 * (every + 1):
+            barred.setdefault(s[:3], set()).update((s[3], s[3].upper()))
+    after = {s: f"(?![{re.escape(''.join(sorted(barred[s])))}])" if s in barred else "(?!\\w)" if len(s) == 2 else "" for s in stems}
+    cases = sorted({re.escape(c) + after[s] for s in stems for c in (s.capitalize(), s.title(), s.upper())})
+    return rf"(?<![\w@.'’+-])(?:{'|'.join(cases)})[^\W\d_]*(?:-[^\W\d_]+)?(?![\w@])" if cases else ""
+
+
+def fit(texts: list[str], anchors: str | None = None) -> Field:
+    """The field fitted on some texts; without any it labels nothing but by shape. Name stems come from the texts unless given."""
+    if anchors is None:
+        anchors = name_stems(stem_counts(texts))
     pattern = re.compile(anchors) if anchors else None
     graph = Graph()
     for i, text in enumerate(texts):
@@ -458,18 +519,33 @@ def find(model: Field, texts: list[str | None], anchors: re.Pattern[str] | None)
     return out
 
 
+def count_stems(documents: DataFrame, text_col: str = "text") -> dict[str, list[int]]:
+    """``stem_counts`` over all documents; what reaches the driver is bounded by the stems that begin like one after a name cue."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = stem_counts(text for batch in batches for text in batch.column(0).to_pylist())
+        columns = (list(counts), [n for n, _ in counts.values()], [n for _, n in counts.values()])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["stem", "named", "every"])
+
+    parts = documents.select(text_col).mapInArrow(count, "stem string, named long, every long")
+    sums = parts.groupBy("stem").agg(F.sum("named").alias("named"), F.sum("every").alias("every"))
+    alike = sums.withColumn("_n", F.sum("named").over(Window.partitionBy(F.substring("stem", 1, 3)))).filter("_n > 0")
+    return {r["stem"]: [r["named"], r["every"]] for r in alike.collect()}
+
+
 def fit_on(documents: DataFrame, text_col: str = "text", sample: int = SAMPLE_DOCUMENTS) -> Field:
-    """The field fitted on the ``sample`` documents of least text hash.
+    """The field fitted on the ``sample`` distinct texts of least hash, with name stems counted over all documents.
 
     A bound on the hash lets about one and a half times the sample through, so
     that what partitions send to the driver does not grow with their number.
     """
     text = F.col(text_col)
     rows = documents.filter(text.isNotNull() & (text != "")).select(text.alias("t"), F.xxhash64(text).alias("h"))
-    count = rows.count()
+    count = rows.select("h").distinct().count()
     bound = min(1.0, 1.5 * sample / max(1, count))
     near = rows.filter(F.col("h") <= int(-(2**63) + bound * (2**64 - 1))) if bound < 1 else rows
-    return fit([r["t"] for r in near.orderBy("h", "t").limit(sample).collect()])
+    texts = [r["t"] for r in near.distinct().orderBy("h", "t").limit(sample).collect()]
+    return fit(texts, name_stems(count_stems(documents, text_col)))
 
 
 def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Field | None = None) -> DataFrame:

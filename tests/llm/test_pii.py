@@ -71,3 +71,34 @@ def test_skip_edge_carries_a_label():
     assert belief[1].argmax() == 1 and belief[2].argmax() == 0
     got = np.exp(belief[1] - belief[1].max())
     assert got / got.sum() == pytest.approx(joint.sum(0) / joint.sum(), abs=2e-3)
+
+
+RARE = [
+    ("The plant is late. Dr Jane Kim said so.", {("name", 22)}),
+    ("A spokeswoman said Mary O'Brien. In May, later than O'Brien, it left.", {("name", 19), ("name", 52)}),
+    ("It is late, according to Mr. Li in Kelmvik. It was for Li to say.", {("name", 29), ("name", 55)}),
+    ("Reporting by Kim Xu Tooling on costs.", set()),
+]
+
+
+@pytest.mark.parametrize("text, expected", RARE)
+def test_cue_makes_a_node_of_any_surname(model, text, expected):
+    import re
+
+    found = pii.find(model, [text], re.compile(model.anchors))[0]
+    assert {(kind, start) for start, _, kind in found} == expected
+
+
+def test_stems_come_from_all_documents(spark):
+    rows = [(i, f"Note {i} on costs.", "x") for i in range(300)] + [(300 + i, f"He said Zyx O'Xand{i}.", "x") for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert pii.count_stems(df)["o'xa"] == [3, 3]
+    assert "O'X" in pii.fit_on(df, sample=2).anchors
+
+
+def test_sample_holds_a_copied_text_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "Copied text.", "x") for i in range(50)] + [(50 + i, f"Text {i}.", "x") for i in range(5)], SCHEMA)
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda texts, anchors: seen.extend(texts))
+    pii.fit_on(df, sample=6)
+    assert len(seen) == 6 == len(set(seen))
