@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.skew import bounded_broadcast, dense_index, take_ranked
+from quillmesh.functions.skew import bounded_broadcast, take_ranked
+from quillmesh.lineage import Workspace
 from quillmesh.operators.sampling import rank_key
 
+#: Resamples of an agreement interval and the seed of their draws.
+REPLICATES, KAPPA_SEED = 2000, "pilot-kappa-bootstrap-v1"
+
 
 def split_by_date(day: Column, start: date, train_end: date, validation_end: date, end: date, embargo_days: int = 2) -> Column:
     """One of undated, before_range, train, embargo, validation, test, after_range; embargo days precede each boundary."""
@@ -29,19 +33,36 @@ def contamination(pairs: DataFrame, a: str, b: str, splits: DataFrame, identity:
     return pairs.select(a, b).distinct().join(left, a).join(right, b).filter("split_a <> split_b").select(a, b, "split_a", "split_b")
 
 
-def kappa_interval(pairs: DataFrame, item: str, classes: int = 4, replicates: int = 200, seed: str = "quillmesh") -> DataFrame:
+def _in_order(pairs: DataFrame, item: str) -> DataFrame:
+    """(idx, a, b): the pairs numbered 0, 1, 2 .. in the order of ``item``, without one task that holds them all."""
+    ranges = pairs.select(item, "a", "b").repartitionByRange(item).sortWithinPartitions(item, "a", "b")
+    # Written, so that partitions and numbers stay as they are.
+    kept = Workspace(pairs.sparkSession, "agreement").write(ranges.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_id", 33).alias("_p")
+    counts = kept.groupBy(part).agg(F.count(F.lit(1)).alias("_c"))
+    # One row per partition.
+    starts = counts.withColumn("_from", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.withColumn("_p", part).join(F.broadcast(starts), "_p").select((F.col("_from") + within).alias("idx"), "a", "b")
+
+
+def kappa_interval(pairs: DataFrame, item: str, classes: int = 4, replicates: int = REPLICATES, seed: str = KAPPA_SEED) -> DataFrame:
     """One row (pairs, replicates, low, high): the 95 % percentile interval of linearly weighted kappa.
 
     Draw j of replicate r takes the pair numbered sha256(seed|boot|r|j) modulo
-    the number of pairs, so the same table gives the same interval anywhere.
-    Replicates without chance disagreement are left out; no pairs give nulls.
+    the number of pairs, in the order of ``item``, so the same table gives the
+    same interval anywhere. Replicates without chance disagreement are left
+    out; with fewer than a tenth of them, or ten, left, or fewer than two
+    pairs, the ends are null.
     """
-    numbered = dense_index(pairs.select(item, "a", "b"), item)
     n = pairs.count()
     if not n:
         return pairs.sparkSession.createDataFrame([(0, 0, None, None)], "pairs long, replicates long, low double, high double")
+    numbered = _in_order(pairs, item)
     digest = F.sha2(F.concat_ws("|", F.lit(seed), F.lit("boot"), F.col("r").cast("string"), F.col("j").cast("string")), 256)
-    pick = (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n).alias("idx")
+    # The first 64 bits as two halves, which keeps the modulo within a long.
+    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    pick = (((half(1) % n) * F.lit(2**32 % n) + half(9)) % n).alias("idx")
     spark = pairs.sparkSession
     draws = spark.range(0, replicates * n).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("j")).select("r", pick)
     drawn = draws.join(bounded_broadcast(numbered), "idx")
@@ -53,8 +74,9 @@ def kappa_interval(pairs: DataFrame, item: str, classes: int = 4, replicates: in
     kappas = per.withColumn("chance", chance).filter(F.abs(1 - F.col("chance")) > 1e-12).select(((F.col("seen") - F.col("chance")) / (1 - F.col("chance"))).alias("k"))
     # One number per replicate, a set of parameter size.
     listed = kappas.agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    at = lambda q: F.get("ks", F.least(F.size("ks") - 1, F.floor(F.lit(q) * F.size("ks"))).cast("int"))
-    return listed.select(F.lit(n).alias("pairs"), F.size("ks").cast("long").alias("replicates"), at(0.025).alias("low"), at(0.975).alias("high"))
+    enough = (F.size("ks") >= max(10, replicates // 10)) & F.lit(n > 1)
+    at = lambda q: F.when(enough, F.get("ks", F.floor(F.lit(q) * (F.size("ks") - 1)).cast("int")))
+    return listed.select(F.lit(n).alias("pairs"), F.size("ks").cast("long").alias("replicates"), at((1 - 0.95) / 2).alias("low"), at(1 - (1 - 0.95) / 2).alias("high"))
 
 
 def round_robin(units: DataFrame, identity: str, reasons: str, order: list[str], target: int, seed: str) -> DataFrame:

@@ -383,7 +383,7 @@ def label_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kappa_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(benchmark.kappa_interval(_label_pairs(spark, sf_dir), "item", replicates=100))
+    return _round(benchmark.kappa_interval(_label_pairs(spark, sf_dir), "item"))
 
 
 def date_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

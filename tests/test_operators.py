@@ -273,3 +273,40 @@ def test_observation_audits(spark):
         observations.audit(df.withColumn("feature_available_at", F.expr("timestamp'2024-01-02 09:00:01'")))
     with pytest.raises(ValueError, match="no bars"):
         observations.require_symbols(spark.createDataFrame([("a",)], "symbol string"), ["a", "z"])
+
+
+def test_kappa_interval_draws_by_hash(spark):
+    import hashlib
+    import random
+
+    from quillmesh.operators import benchmark
+
+    pick = random.Random(3)
+    rows = [(f"i{pick.random()}", a := pick.randrange(4), pick.choice([a, a, pick.randrange(4)])) for _ in range(37)]
+    ordered = sorted(rows)
+
+    def kappa(sample):
+        n, weight = len(sample), lambda i, j: 1 - abs(i - j) / 3
+        seen = sum(weight(a, b) for _, a, b in sample) / n
+        chance = sum(weight(a, b) for _, a, _ in sample for _, _, b in sample) / n**2
+        return (seen - chance) / (1 - chance)
+
+    stats = []
+    for r in range(benchmark.REPLICATES):
+        at = [int(hashlib.sha256(f"{benchmark.KAPPA_SEED}|boot|{r}|{j}".encode()).hexdigest()[:16], 16) % 37 for j in range(37)]
+        stats.append(kappa([ordered[i] for i in at]))
+    stats.sort()
+    row = benchmark.kappa_interval(spark.createDataFrame(rows, "item string, a int, b int"), "item").first()
+    assert row["replicates"] == 2000
+    assert row["low"] == pytest.approx(stats[49]) and row["high"] == pytest.approx(stats[1949])
+
+
+def test_kappa_interval_is_null_when_few_replicates_are_defined(spark):
+    from quillmesh.operators import benchmark
+
+    same = spark.createDataFrame([(f"i{k}", 1, 1) for k in range(5)], "item string, a int, b int")
+    row = benchmark.kappa_interval(same, "item", replicates=40).first()
+    assert (row["replicates"], row["low"], row["high"]) == (0, None, None)
+    few = spark.createDataFrame([(f"i{k}", k % 4, k % 3) for k in range(9)], "item string, a int, b int")
+    row = benchmark.kappa_interval(few, "item", replicates=9).first()
+    assert row["replicates"] == 9 and row["low"] is None and row["high"] is None
