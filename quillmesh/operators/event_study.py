@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,21 +70,27 @@ def contrasts(means: DataFrame, by: list[str], least: int = 20) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
+def _block_starts(n: int, blocks: int, draws: int, seed: int) -> np.ndarray:
+    """Where each block of each draw starts, one seeded generator per draw; the same for all sequences of a length."""
+    out = np.empty((blocks, draws), np.int32)
+    for i in range(draws):
+        pick = random.Random(seed + i)
+        out[:, i] = [pick.randrange(n) for _ in range(blocks)]
+    return out
+
+
 def block_draws(values: list[float], draws: int, block: int, seed: int) -> list[float]:
     """Means of circular block resamples of a sequence, one seeded generator per draw."""
     n = len(values)
     size = min(block, n)
-    out = []
-    for i in range(draws):
-        pick = random.Random(seed + i)
-        total, taken = 0.0, 0
-        while taken < n:
-            start = pick.randrange(n)
-            for k in range(min(size, n - taken)):
-                total += values[(start + k) % n]
-            taken += min(size, n - taken)
-        out.append(total / n)
-    return out
+    wrapped = np.asarray([*values, *values[: size - 1]], dtype=float)
+    total = np.zeros(draws)
+    # All draws at once, each summed in its own order.
+    for at, starts in enumerate(_block_starts(n, -(-n // size), draws, seed)):
+        for k in range(min(size, n - at * size)):
+            total += wrapped[starts + k]
+    return (total / n).tolist()
 
 
 def _quantile(ordered: list[float], q: float) -> float:
@@ -115,6 +123,14 @@ def bootstrap_differences(means: DataFrame, session: str, by: list[str], draws:
     return means.filter(F.col("kind").isin("event", "control")).groupBy(*by, "response").applyInPandas(resample, schema)
 
 
+def bootstrap_contrasts(long: DataFrame, session: str, member: str, draws: int = DRAWS) -> DataFrame:
+    """(``member``, response, difference, low, high): the pooled contrasts, where ``member`` is null, and those of each member."""
+    kept = Workspace(long.sparkSession, "contrasts").write(long.select(member, "kind", "response", session, "value"), "long")
+    pooled = bootstrap_differences(session_means(kept, session, []), session, [], draws)
+    each = bootstrap_differences(session_means(kept.filter(F.col(member).isNotNull()), session, [member]), session, [member], draws)
+    return each.unionByName(pooled.withColumn(member, F.lit(None).cast(kept.schema[member].dataType)))
+
+
 def median_split(df: DataFrame, value: str, out: str) -> DataFrame:
     """``df`` with ``out``: low at or below the median of ``value``, high above it, null without a value."""
     middle = exact_medians(df.withColumn("_all", F.lit(1)), ["_all"], value).select(F.col("median").alias("_m"))

@@ -510,8 +510,8 @@ def event_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = event_study.long_responses(_study(spark, sf_dir), ["kind", "day"], ["absolute_return", "parkinson_variance"])
-    return _round(event_study.bootstrap_differences(event_study.session_means(long, "day", []), "day", [], draws=400))
+    long = event_study.long_responses(_study(spark, sf_dir), ["kind", "symbol", "day"], _RESPONSES)
+    return _round(event_study.bootstrap_contrasts(long, "day", "symbol"))
 
 
 def median_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,3 +310,25 @@ def test_kappa_interval_is_null_when_few_replicates_are_defined(spark):
     few = spark.createDataFrame([(f"i{k}", k % 4, k % 3) for k in range(9)], "item string, a int, b int")
     row = benchmark.kappa_interval(few, "item", replicates=9).first()
     assert row["replicates"] == 9 and row["low"] is None and row["high"] is None
+
+
+def test_block_draws_follow_the_generator():
+    import random
+
+    values = [random.Random(5).gauss(0, 1) * k for k in range(13)]
+    for i, got in enumerate(event_study.block_draws(values, 6, 5, 77)):
+        pick = random.Random(77 + i)
+        drawn = [values[(start + k) % 13] for start in [pick.randrange(13) for _ in range(3)] for k in range(5)][:13]
+        assert got == pytest.approx(sum(drawn) / 13, abs=1e-12)
+
+
+def test_block_bootstrap_covers_all_contrasts(spark, data_dir, monkeypatch):
+    from quillmesh.queries import core
+
+    seen = []
+    whole = event_study.bootstrap_differences
+    monkeypatch.setattr(event_study, "bootstrap_differences", lambda means, session, by, draws: seen.append((by, draws)) or whole(means, session, by, 3))
+    rows = core.block_bootstrap(spark, data_dir).collect()
+    assert sorted(seen) == [([], 2000), (["symbol"], 2000)]
+    pooled = {r["response"] for r in rows if r["symbol"] is None}
+    assert pooled == set(core._RESPONSES) == {r["response"] for r in rows if r["symbol"] is not None}
