@@ -44,6 +44,7 @@ TITLES = "Mr Mrs Ms Miss Dr Prof Sir Herr Frau Sr Sra Srta Don Doña Mme Mlle Mo
 _STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Row|Terrace|Way|Boulevard|Blvd|Drive|Dr|Court|Ct|Place|Pl|Square|Sq|Crescent|Gardens|Parade"
 _VOIES = "rue|avenue|boulevard|impasse|place|chemin|allée|quai|ruelle|sentier"
 _VIAS = r"Calle|Avda\.?|Avenida|Plaza|Pza\.?|Paseo|Camino|Ronda|Carretera|Travesía|Cuesta|C/"
+_VIA_HINTS = tuple(word.removesuffix(r"\.?") for word in _VIAS.split("|"))
 _PHONE_CUE = re.compile(
     r"(?:\btel|\btél|telefon|erreichbar|phone|\bcall|\btext|tip line|answers on|number in the filing|appeler|llame|llamar|电话|電話|手机)"
     r"[^\d\n]{0,24}$",
@@ -199,7 +200,7 @@ def _addresses(text: str) -> Iterator[Unit]:
     patterns = [_STREET_FIRST_NUMBER]
     if any(word in text for word in _STRASSE_HINTS):
         patterns.append(_STRASSE)
-    if "Call" in text or "Av" in text or "Pl" in text or "Pas" in text or "C/" in text:
+    if any(word in text for word in _VIA_HINTS):
         patterns.append(_VIA)
     if "県" in text or "都" in text or "府" in text or "道" in text:
         patterns.append(_KEN)

@@ -102,3 +102,8 @@ def test_sample_holds_a_copied_text_once(spark, monkeypatch):
     monkeypatch.setattr(pii, "fit", lambda texts, anchors: seen.extend(texts))
     pii.fit_on(df, sample=6)
     assert len(seen) == 6 == len(set(seen))
+
+
+@pytest.mark.parametrize("street", ["Camino", "Ronda", "Carretera", "Travesía", "Cuesta", "Pza.", "Avda.", "Calle", "C/"])
+def test_every_spanish_street_word_is_searched(street):
+    assert [(u.kind, u.start) for u in pii._addresses(f"vive en {street} del Sol 12, 3.º A")] == [("A", 8)]
