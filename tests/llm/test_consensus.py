@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.llm.consensus import Consensus, digamma, krippendorff, valid_labels
+from quillmesh.llm.consensus import Consensus, _digamma, digamma, krippendorff, valid_labels
 
 SCHEMA = "article_id string, annotator_id string, relevance_label long, annotation_completed_at string, item string"
 
@@ -21,6 +22,27 @@ def _rows(items=150):
     return rows, truth
 
 
+def _plain(labels, rounds):
+    """Posteriors of the model after some rounds, by single rows."""
+    items, who = sorted({r[0] for r in labels}), sorted({r[1] for r in labels})
+    q = np.zeros((len(items), 4))
+    for i, _, v in labels:
+        q[items.index(i), v] += 1
+    q /= q.sum(1, keepdims=True)
+    for _ in range(rounds):
+        cells = np.full((len(who), 4, 4), 0.6) + 0.9 * np.eye(4)
+        for i, a, v in labels:
+            cells[who.index(a), v] += q[items.index(i)]
+        evidence = _digamma(cells) - _digamma(cells.sum(1, keepdims=True))
+        logs = np.tile(_digamma(q.sum(0) + 1) - _digamma(q.sum() + 4), (len(items), 1))
+        for i, a, v in labels:
+            logs[items.index(i)] += evidence[who.index(a), v]
+        later = np.exp(logs - logs.max(1, keepdims=True))
+        later /= later.sum(1, keepdims=True)
+        q = later
+    return dict(zip(items, q, strict=True))
+
+
 def test_model(spark):
     rows, truth = _rows()
     model = Consensus(valid_labels(spark.createDataFrame(rows, SCHEMA)))
@@ -29,6 +51,27 @@ def test_model(spark):
     assert sum(agreed[i] == t for i, t in truth.items()) / len(truth) > 0.85
     by = {r["annotator_id"]: r for r in model.reliability().collect()}
     assert by["good"]["reliability"] > by["noise"]["reliability"] and by["good"]["reliability_low"] < by["good"]["reliability"] < by["good"]["reliability_high"]
+    assert by["noise"]["follow_low"] < 0 < by["noise"]["follow_high"] and by["against"]["follow_high"] < 0 and by["always0"]["follow_low"] < 0.1
+    assert model.change < model.tolerance and model.rounds > 1
+
+
+def test_plans_agree_and_settle(spark):
+    """Joined rounds, for many annotators or an item with very many labels, give the posteriors of packed ones, which a plain loop confirms."""
+    rows, _ = _rows(25)
+    labels = valid_labels(spark.createDataFrame(rows, SCHEMA)).cache()
+    packed = Consensus(labels, tolerance=0.1)
+    posterior = lambda m: {r["item"]: [r[f"q{k}"] for k in range(4)] for r in m.items.collect()}
+    want = _plain([(r["item"], r["annotator"], r["label"]) for r in labels.collect()], packed.rounds)
+    for model in (packed, Consensus(labels, 0.1, broadcast=3), Consensus(labels, 0.1, packed=2)):
+        got = posterior(model)
+        assert model.change < model.tolerance and model.rounds == packed.rounds
+        assert all(np.allclose(got[i], want[i], atol=1e-6) for i in want) and got.keys() == want.keys()
+
+
+def test_unsettled_model_raises(spark, monkeypatch):
+    monkeypatch.setattr("quillmesh.llm.consensus.MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="moves"):
+        Consensus(valid_labels(spark.createDataFrame(_rows(30)[0], SCHEMA)))
 
 
 def test_latest_valid_label(spark):
