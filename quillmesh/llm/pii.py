@@ -4,22 +4,28 @@ A text's nodes are lexical units found in one pass: strings shaped like an
 e-mail address, a long number or a street address, and the tokens of a possible
 person's name. Node potentials are log-linear in the unit's shape and its
 neighbouring words. Chain edges join the tokens of one name; skip edges join
-equal units however far apart, so that a surname or number recognised by its
-context in one place carries its label to the others. Loopy belief propagation
-over all graphs of a batch gives each node's label.
+equal or similar units however far apart (a surname in another case or as part
+of a double one, an initial and the given name it stands for, a number with and
+without its prefix), so that what is recognised by its context in one place
+carries its label to the others. Loopy belief propagation, run until no belief
+moves, gives each node's label.
 
 Name nodes are the words that a cue introduces in any document, every repetition
 of such a word in its document, and the words whose stem names people often
 enough, by counts over all documents.
 
-The field is fitted on a bounded sample of distinct texts whose nodes are labelled
-by the cue words around them; nodes without a cue are left open. The units'
-features and the edge potentials come from that sample.
+The field is fitted on a bounded sample of distinct texts. Titles, verbs of speech
+and the usual labels of numbers and addresses ("tel", "passport", "Anschrift")
+label some of its nodes; the others are hidden. Unary weights and the potentials
+of chain and skip edges together maximise the pseudo-likelihood of the labels,
+hidden nodes standing in with their current marginals, which is repeated as the
+marginals change.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -31,22 +37,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents of the training sample: those of least text hash.
-SAMPLE_DOCUMENTS = 4000
-EPOCHS, RATE, DECAY = 120, 0.5, 1e-4
-PROPAGATION_ROUNDS = 4
+#: Documents of the training sample: those of least text hash, of at most so many characters each.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS = 4000, 50_000
+#: Fits of the pseudo-likelihood, each with new marginals of the hidden nodes, and the gradient steps of each.
+FITS, STEPS, RATE, DECAY = 3, 80, 0.5, 1e-4
+#: Log odds that a cue gives to the label it stands for.
+CUE = 4.0
+#: Beliefs that move less than this are settled; a graph that is not settled by the last round keeps its beliefs.
+SETTLED, MOST_ROUNDS = 1e-3, 1000
+#: Characters of texts that form one graph.
+GRAPH_CHARS = 1 << 21
 LABELS = ("none", "email", "phone", "id_number", "address", "name")
 _OF = {name: i for i, name in enumerate(LABELS)}
 _ALLOWED = {"E": ("email",), "N": ("phone", "id_number"), "A": ("address",), "P": ("name",), "G": ("name",), "H": ("name",)}
 
 # Vocabulary of titles, street words, company words and cues.
-TITLES = "Mr Mrs Ms Miss Dr Prof Sir Herr Frau Sr Sra Srta Don Doña Mme Mlle Monsieur Madame".split()
+TITLES = "Mr Mrs Ms Miss Dr Prof Professor Doctor Doktor Sir Herr Frau Sr Sra Srta Don Doña Mme Mlle Monsieur Madame".split()
 _STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Row|Terrace|Way|Boulevard|Blvd|Drive|Dr|Court|Ct|Place|Pl|Square|Sq|Crescent|Gardens|Parade"
 _VOIES = "rue|avenue|boulevard|impasse|place|chemin|allée|quai|ruelle|sentier"
 _VIAS = r"Calle|Avda\.?|Avenida|Plaza|Pza\.?|Paseo|Camino|Ronda|Carretera|Travesía|Cuesta|C/"
 _VIA_HINTS = tuple(word.removesuffix(r"\.?") for word in _VIAS.split("|"))
 _PHONE_CUE = re.compile(
-    r"(?:\btel|\btél|telefon|erreichbar|phone|\bcall|\btext|tip line|answers on|number in the filing|appeler|llame|llamar|电话|電話|手机)"
+    r"(?:\btel|\btél|telefon|erreichbar|phone|\bfax|mobile|\bcall|rufnummer|portable|appeler|llame|llamar|móvil|电话|電話|手机|携帯)"
     r"[^\d\n]{0,24}$",
     re.IGNORECASE,
 )
@@ -56,10 +68,10 @@ _ID_CUE = re.compile(
     re.IGNORECASE,
 )
 _OTHER_CUE = re.compile(
-    r"(?:order|ticket|part no\.?|record|range|index|\blot|version|closed on|invoice|updated|checks)[^\d\n]{0,14}$", re.IGNORECASE
+    r"(?:order|ticket|part no\.?|record|range|index|\blot|version|invoice|serial|ref\.?)[^\d\n]{0,14}$", re.IGNORECASE
 )
 _PLACE_CUE = re.compile(
-    r"(?:left at|office is|workshop at|mail:|liegen in|anschrift:?|taller está en|dirección:?|échantillons sont au|adresse ?:?|寄往|住所は?|試料は)\s*$",
+    r"(?:address(?: is)?:?|mail:|lives? at|located at|anschrift:?|adresse ?:?|wohnhaft in|domicile ?:?|domicilio:?|dirección:?|住所は?|地址[:：]?)\s*$",
     re.IGNORECASE,
 )
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[’'-][^\W\d_]+)*"
@@ -67,25 +79,25 @@ _INITIAL = r"[^\W\d_a-zß-öø-ÿ]\."
 _TITLE = rf"(?:(?:{'|'.join(TITLES)})\.?|M\.)"
 _RUN = rf"((?:{_INITIAL} ?|{_CAP} ){{0,3}}{_CAP})(?![^\W\d_])"
 _CUES = (
-    "said", "Reporting by", "reporting by", "named", "According to", "according to", "Asked by", "asked by", "sagte", "estime", "dirigé par",
-    "dijo", "nombró a", "el recibo",
+    "said", "says", "told", "Reporting by", "reporting by", "Written by", "written by", "asked by", "Asked by", "named", "According to", "according to",
+    "sagte", "sagt", "estime", "dirigé par", "dijo", "dice", "nombró a",
 )
 _NAME_CUE = re.compile(rf"\b(?:{'|'.join(_CUES)})\s+(?:{_TITLE} )?{_RUN}")
 _TITLE_CUE = re.compile(rf"(?<!\w){_TITLE}\s+{_RUN}")
 _CAPITAL = re.compile(rf"(?<![\w@.'’+-]){_CAP}")
 _NAME_BEFORE = re.compile(
-    rf"(?:\bsaid|\bby|\bnamed|\bto|\bsagte|\bestime|\bpar|\bdijo|\bnombró a|\brecibo|would not discuss\.|{_TITLE})\s+(?:{_TITLE}\s+)?$"
-)
-_NAME_AFTER = re.compile(
-    r"(?: leitet| to run the| direct|, (?:the|an?|who|head|now|con|DNI|NIF)\b| would not| of [A-Z][a-z]+| in [A-Z][a-z]+\.)"
+    rf"(?:\b(?:{'|'.join(_CUES)})|{_TITLE})\s+(?:{_TITLE}\s+)?$"
 )
+_NAME_AFTER = re.compile(r"(?:, (?:who|head of|chief)\b| (?:said|says|told|sagte|sagt|dijo|dice|estime)\b)")
 _NO_NAME_AFTER = re.compile(rf"(?: (?:Tooling|Inc|Ltd|GmbH|Co|Corp|Group)\b| & Sons| (?:{_STREETS})\b)")
 _COMPANY_WORD = re.compile(r"(?:Tooling|Inc|Ltd|GmbH|Co|Corp|Group)$")
 _COMPANY_AFTER = re.compile(r" (?:and|&) [A-Z][\w-]+ &")
 
 _AT = re.compile(r"@|＠| ?\(at\) ?| ?\[at\] ?")
-_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+%-]*$")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+%-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?)[A-Za-z0-9-]+)*(?:\.| ?\(dot\) ?| ?\[dot\] ?)[A-Za-z]{2,}")
+#: Words of a street's name.
+STREET_WORDS = 12
 _GAP = "().\\-‐–－/ \u00a0"
 _NUMBER = re.compile(rf"\d(?=[\d{_GAP}]{{4}})\d*(?:[{_GAP}]{{1,2}}\d+)*(?:\s?(?:ext\.?|x|Durchwahl)\s?\d{{1,5}}\b)?")
 _BRACKET = re.compile(r"\([+＋]?\d{1,5}\)")
@@ -95,7 +107,7 @@ _ID_TAIL_SPACED = re.compile(r" ?-?[A-Z](?![A-Za-z0-9])")
 _TOWN = r"(?:,? (?:Suite|Flat|Apt\.?|Unit) \d+[A-Z]?)?(?:, [A-Z][\w’'-]+(?:,? \d{5})?)?"
 _STREET_FIRST_NUMBER = re.compile(
     rf"(?<![\w.,/£€$+-])(?:(?:Flat|Apt\.?|Apartment|Unit) \d+[A-Z]?, )?\d{{1,4}}"
-    rf"(?:[A-Z]? [A-Z][^,.;:\n\d]{{0,40}}? (?:{_STREETS})\b\.?{_TOWN}|(?: ?(?:bis|ter|quater))?,? (?:{_VOIES})\b [^,;:\n.]{{2,45}}(?:, (?:\d{{5}} )?[A-Z][\w’'-]+)?)",
+    rf"(?:[A-Z]? [A-Z][\w’'-]*(?: [^\W\d][\w’'-]*){{0,{STREET_WORDS}}}? (?:{_STREETS})\b\.?{_TOWN}|(?: ?(?:bis|ter|quater))?,? (?:{_VOIES})\b(?: [\w’'-]+){{1,{STREET_WORDS}}}(?:, (?:\d{{5}} )?[A-Z][\w’'-]+)?)",
 )
 _STRASSE = re.compile(
     r"(?:\b[A-ZÄÖÜ][\wäöüß-]*?(?:straße|strasse|str\.|weg|platz|gasse|allee|damm|ufer|STRASSE)"
@@ -131,14 +143,17 @@ class Unit:
     weak: int = -1
 
 
+#: Features of a unit that come from the words around it; they stand first.
+CONTEXT = 7
+
+
 def _context(text: str, unit: Unit) -> list[str]:
     before = text[max(0, unit.start - 28) : unit.start]
     words = [w.lower() for w in _WORDS_BEFORE.findall(before)][-3:]
     after = _WORDS_BEFORE.findall(text[unit.end : unit.end + 16])[:2]
     k = unit.kind
-    out = [k, f"{k}<{' '.join(words[-1:])}", f"{k}<<{' '.join(words[-2:])}", f"{k}<<<{' '.join(words)}"]
-    out += [f"{k}>{' '.join(after[:1])}", f"{k}>>{' '.join(after)}", f"{k}c{before[-2:]}", f"{k}d{before[-4:]}"]
-    return out
+    out = [f"{k}<{' '.join(words[-1:])}", f"{k}<<{' '.join(words[-2:])}", f"{k}<<<{' '.join(words)}"]
+    return [*out, f"{k}>{' '.join(after[:1])}", f"{k}>>{' '.join(after)}", f"{k}c{before[-2:]}", f"{k}d{before[-4:]}", k]
 
 
 def _shape(value: str) -> str:
@@ -147,10 +162,13 @@ def _shape(value: str) -> str:
 
 def _emails(text: str) -> Iterator[Unit]:
     for at in _AT.finditer(text):
-        local = _LOCAL.search(text[max(0, at.start() - 80) : at.start()])
+        start = at.start()
+        while start and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < at.start() and text[start] in "._+%-":
+            start += 1
         host = _HOST.match(text, at.end())
-        if local and host:
-            start = at.start() - len(local[0])
+        if start < at.start() and host:
             unit = Unit("E", start, host.end(), text[start : host.end()].lower())
             unit.features = [*_context(text, unit), f"Ea{at[0].strip()}", f"Et{host[0][-5:].lower()}"]
             unit.weak = _OF["email"]
@@ -192,7 +210,6 @@ def _numbers(text: str) -> Iterator[Unit]:
             # The nearest cue decides.
             near = max(range(3), key=lambda i: cue[i].start() if cue[i] else -1)
             unit.weak = (_OF["phone"], _OF["id_number"], _OF["none"])[near]
-            unit.features.append(f"Nc{near}")
         yield unit
 
 
@@ -212,11 +229,36 @@ def _addresses(text: str) -> Iterator[Unit]:
             unit.features = [*_context(text, unit), f"Ap{pattern.pattern[:12]}"]
             if _PLACE_CUE.search(text[max(0, found.start() - 32) : found.start()]):
                 unit.weak = _OF["address"]
-                unit.features.append("Ac")
             yield unit
 
 
-_LEFT = re.compile(rf"(?:(?<=\s)|(?<=^)|(?<=[“„«\"'(>。]))({_CAP}|{_INITIAL}|{_TITLE})\s$")
+_GIVEN = re.compile(rf"(?:{_CAP}|{_INITIAL}|{_TITLE})")
+_OPENING = "“„«\"'(>。"
+
+
+def _token_before(text: str, left: int, floor: int) -> tuple[int, int] | None:
+    """Span of a given name, initial or title right before ``left``, one white space between, not before ``floor``."""
+    end = left - 1
+    if end <= floor or not text[end].isspace() or text[end] == "\n":
+        return None
+    begin = end
+    while begin > floor and not text[begin - 1].isspace() and text[begin - 1] not in _OPENING:
+        begin -= 1
+    return (begin, end) if _GIVEN.fullmatch(text, begin, end) else None
+
+
+class _Spans:
+    """Disjoint spans of a text, to ask whether another one overlaps them."""
+
+    def __init__(self) -> None:
+        self._spans: list[tuple[int, int]] = []
+
+    def add(self, start: int, end: int) -> None:
+        insort(self._spans, (start, end))
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self._spans, (start, start))
+        return (at > 0 and self._spans[at - 1][1] > start) or (at < len(self._spans) and self._spans[at][0] < end)
 
 
 def _surname(found: re.Match[str]) -> tuple[int, int]:
@@ -237,44 +279,44 @@ def _introduced(text: str) -> Iterator[re.Match[str]]:
 def _surnames(text: str, anchors: re.Pattern[str] | None) -> list[tuple[int, int]]:
     """Spans of possible surnames: words with a name stem, words after a cue, and every repetition of the latter."""
     spans = [found.span() for found in anchors.finditer(text)] if anchors is not None else []
-    stemmed = len(spans)
+    held = _Spans()
+    for span in spans:
+        held.add(*span)
+    more: set[tuple[int, int]] = set()
     forms = set()
     for found in _introduced(text):
         start, end = found.span(1)
         word = slice(*_surname(found))
         company = _COMPANY_WORD.match(text[word]) or _NO_NAME_AFTER.match(text, word.stop)
-        if not company and not any(a < end and b > start for a, b in spans[:stemmed]):
-            spans.append((word.start, word.stop))
+        if not company and not held.meets(start, end):
+            more.add((word.start, word.stop))
             forms.add(text[word].lower())
+    for span in more:
+        if not held.meets(*span):
+            held.add(*span)
+            spans.append(span)
     if forms:
         for found in _CAPITAL.finditer(text):
             form = re.sub(r"['’]s$", "", found[0])
-            if form.lower() in forms and not any(a < found.end() and b > found.start() for a, b in spans):
+            if form.lower() in forms and not held.meets(*found.span()):
                 spans.append((found.start(), found.start() + len(form)))
     return sorted(set(spans))
 
 
-def _names(text: str, anchors: re.Pattern[str] | None, taken: list[tuple[int, int]]) -> Iterator[list[Unit]]:
-    """Each possible name as its nodes, the surname last."""
-    at = 0
+def _names(text: str, anchors: re.Pattern[str] | None, taken: _Spans) -> Iterator[list[Unit]]:
+    """Each possible name as its nodes, the surname last; the words before a surname belong to it up to the surname before."""
+    floor = 0
     for start, end in _surnames(text, anchors):
-        while at < len(taken) and taken[at][1] <= start:
-            at += 1
-        if at < len(taken) and taken[at][0] < end and taken[at][1] > start:
+        if taken.meets(start, end):
             continue
         surname = Unit("P", start, end, text[start:end].lower())
         given: list[Unit] = []
         left = start
-        while len(given) < 4:
-            token = _LEFT.search(text[max(0, left - 24) : left])
-            if not token or "\n" in token[0]:
-                break
-            begin = left - len(token[0])
-            if begin and text[begin - 1].isalnum():
-                break
-            given.insert(0, Unit("G", begin, begin + len(token[1]), token[1].lower()))
-            left = begin
-        yield _named(text, given, surname)
+        while token := _token_before(text, left, floor):
+            given.append(Unit("G", *token, text[slice(*token)].lower()))
+            left = token[0]
+        floor = end
+        yield _named(text, given[::-1], surname)
     for found in _HAN_NAMES.finditer(text) if not text.isascii() else ():
         unit = Unit("H", found.start(), found.end(), found[0])
         unit.features = _context(text, unit)
@@ -290,7 +332,7 @@ def _named(text: str, given: list[Unit], surname: Unit) -> list[Unit]:
     street = bool(re.search(r"\d[A-Z]?\s+$", before)) and bool(re.match(rf" (?:{_STREETS})\b", after))
     surname.features = [
         *_context(text, surname), f"Pp{token[:4]}", f"Pq{token[:5]}", f"Ps{token[-4:]}", f"Pl{bool(given)}",
-        f"Pk{company}", f"Pu{bool(_NAME_BEFORE.search(before))}", f"Pv{bool(_NAME_AFTER.match(after))}",
+        f"Pk{company}",
     ]
     if company or street:
         surname.weak = _OF["none"]
@@ -300,7 +342,7 @@ def _named(text: str, given: list[Unit], surname: Unit) -> list[Unit]:
     for i, unit in enumerate(given):
         word = text[unit.start : unit.end]
         title = word.rstrip(".") in TITLES or word.rstrip(".").capitalize() in TITLES or (word == "M." and i == 0 and french)
-        unit.features = ["G", f"Gt{title}", f"Gw{unit.form}", f"Gi{len(word) == 2}", f"Gk{company}", f"Gp{i}"]
+        unit.features = [*[f"G<{i}"] * CONTEXT, "G", f"Gt{title}", f"Gw{unit.form}", f"Gi{len(word) == 2}", f"Gk{company}", f"Gp{i}"]
         if title or surname.weak == _OF["none"]:
             unit.weak = _OF["none"]
         elif surname.weak == _OF["name"]:
@@ -319,31 +361,38 @@ class Graph:
         self.skip: list[tuple[int, int]] = []
 
     def add(self, document: int, text: str, anchors: re.Pattern[str] | None) -> None:
-        base = len(self.units)
-        taken: list[tuple[int, int]] = []
+        taken = _Spans()
+        alike: dict[tuple[str, str], int] = {}
         for unit in (*_emails(text), *_addresses(text)):
-            taken.append((unit.start, unit.end))
-            self.alone.append((document, len(self.units)))
-            self.units.append(unit)
-        taken.sort()
+            if not taken.meets(unit.start, unit.end):
+                taken.add(unit.start, unit.end)
+                self._alone(document, unit, alike)
         for unit in _numbers(text):
-            if not any(a < unit.end and b > unit.start for a, b in taken):
-                self.alone.append((document, len(self.units)))
-                self.units.append(unit)
+            if not taken.meets(unit.start, unit.end):
+                self._alone(document, unit, alike)
         for group in _names(text, anchors, taken):
             first = len(self.units)
             self.units.extend(group)
             self.names.append((document, first, len(self.units)))
             self.chain.extend((i, i + 1) for i in range(first, len(self.units) - 1))
-        # Equal forms of one document are joined one to the next, which links them all.
-        seen: dict[tuple[str, str], int] = {}
-        for i in range(base, len(self.units)):
-            unit = self.units[i]
-            if unit.kind != "G":
-                key = (unit.kind, unit.form)
-                if key in seen:
-                    self.skip.append((seen[key], i))
-                seen[key] = i
+            last = group[-1]
+            self._join(len(self.units) - 1, alike, [("name", part) for part in {last.form, *last.form.split("-")}])
+            for i, unit in enumerate(group[:-1], first):
+                # A given name and its initial, next to the same surname.
+                self._join(i, alike, [(last.form, unit.form[0]), (last.form, unit.form)])
+
+    def _alone(self, document: int, unit: Unit, alike: dict[tuple[str, str], int]) -> None:
+        self.alone.append((document, len(self.units)))
+        self.units.append(unit)
+        digits = re.sub(r"\D", "", unit.form)
+        keys = [(unit.kind, unit.form)] if unit.kind != "N" or len(digits) < 7 else [(unit.kind, unit.form), (unit.kind, digits[-7:])]
+        self._join(len(self.units) - 1, alike, keys)
+
+    def _join(self, node: int, alike: dict[tuple[str, str], int], keys: list[tuple[str, str]]) -> None:
+        """Skip edges to the last node of each key, which link all nodes of one key one to the next."""
+        for other in {alike[key] for key in keys if key in alike}:
+            self.skip.append((other, node))
+        alike.update((key, node) for key in keys)
 
 
 @dataclass
@@ -369,34 +418,53 @@ class Field:
         if rows:
             starts = np.flatnonzero(np.diff(rows, prepend=-1))
             score[np.asarray(rows)[starts]] = np.add.reduceat(self.weights[cols], starts, axis=0)
+        # A cue around a unit is evidence of its own; learned weights are of shapes and contexts only.
+        weak = np.array([u.weak for u in units])
+        score[np.flatnonzero(weak >= 0), weak[weak >= 0]] += CUE
         return score + _mask(units)
 
-    def labels(self, graph: Graph) -> np.ndarray:
-        """Label of every node, by loopy belief propagation."""
+    def beliefs(self, graph: Graph) -> np.ndarray:
+        """Log belief of every node, by loopy belief propagation."""
         score = self.unary(graph.units)
         edges = [*graph.chain, *graph.skip]
         if edges:
             potential = np.concatenate((np.repeat(self.chain[None], len(graph.chain), 0), np.repeat(self.skip[None], len(graph.skip), 0)))
             score = propagate(score, np.asarray(edges), potential)
-        return score.argmax(1)
+        return score
 
+    def labels(self, graph: Graph) -> np.ndarray:
+        return self.beliefs(graph).argmax(1)
 
-def propagate(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray, rounds: int = PROPAGATION_ROUNDS) -> np.ndarray:
-    """Log beliefs of nodes after parallel sum-product rounds; every edge carries a message each way."""
+
+def propagate(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray, rounds: int = MOST_ROUNDS) -> np.ndarray:
+    """Log beliefs of nodes after sum-product rounds; every edge carries a message each way.
+
+    Only messages from nodes whose belief moved in the last round are sent
+    again, until none moves.
+    """
     source = np.concatenate((edges[:, 0], edges[:, 1]))
     target = np.concatenate((edges[:, 1], edges[:, 0]))
     both = np.concatenate((potential, potential.transpose(0, 2, 1)))
     back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
     message = np.zeros((len(source), unary.shape[1]))
-    belief = unary
+    belief = unary.copy()
+    active = np.arange(len(source))
     for _ in range(rounds):
-        out = (belief[source] - message[back])[:, :, None] + both
+        out = (belief[source[active]] - message[back[active]])[:, :, None] + both[active]
         top = out.max(1, keepdims=True)
         fresh = np.log(np.exp(out - top).sum(1)) + top[:, 0]
         fresh -= fresh.max(1, keepdims=True)
-        message = 0.3 * message + 0.7 * fresh
-        belief = unary.copy()
-        np.add.at(belief, target, message)
+        step = 0.7 * (fresh - message[active])
+        message[active] += step
+        np.add.at(belief, target[active], step)
+        moved = np.zeros(len(unary), bool)
+        moved[target[active][np.abs(step).max(1) > SETTLED]] = True
+        # A message that has not reached its value yet is sent again too.
+        again = np.zeros(len(source), bool)
+        again[active[np.abs(step).max(1) > SETTLED]] = True
+        active = np.flatnonzero(moved[source] | again)
+        if not len(active):
+            break
     return belief
 
 
@@ -442,79 +510,121 @@ def name_stems(counts: dict[str, list[int]]) -> str:
     return rf"(?<![\w@.'’+-])(?:{'|'.join(cases)})[^\W\d_]*(?:-[^\W\d_]+)?(?![\w@])" if cases else ""
 
 
+class _Sums:
+    """Sums of rows by a fixed assignment of rows to slots, sorted once."""
+
+    def __init__(self, slot: np.ndarray, slots: int) -> None:
+        self._order = np.argsort(slot, kind="stable")
+        kept = slot[self._order]
+        self._starts = np.flatnonzero(np.diff(kept, prepend=-1))
+        self._at, self._slots = kept[self._starts], slots
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((self._slots, rows.shape[1]))
+        if len(self._at):
+            out[self._at] = np.add.reduceat(rows[self._order], self._starts, axis=0)
+        return out
+
+
+def _marginals(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 def fit(texts: list[str], anchors: str | None = None) -> Field:
-    """The field fitted on some texts; without any it labels nothing but by shape. Name stems come from the texts unless given."""
+    """The field fitted on some texts; without any it labels nothing but by shape. Name stems come from the texts unless given.
+
+    Each fit climbs the pseudo-likelihood: every node's label given the labels
+    of its neighbours, weak labels where there are some and marginals of the
+    last propagation elsewhere. Hidden nodes count with the confidence of their
+    marginals, so that contexts are learned from mentions a skip edge reaches.
+    """
     if anchors is None:
         anchors = name_stems(stem_counts(texts))
     pattern = re.compile(anchors) if anchors else None
     graph = Graph()
     for i, text in enumerate(texts):
         graph.add(i, text, pattern)
-    units = graph.units
-    counts = Counter(f for u in units if u.weak >= 0 for f in u.features)
+    units, width = graph.units, len(LABELS)
+    counts = Counter(f for u in units for f in u.features)
     index = {f: i for i, f in enumerate(sorted({f for f, n in counts.items() if n >= 2} | set(_ALLOWED)))}
-    known = np.array([i for i, u in enumerate(units) if u.weak >= 0], dtype=np.int64)
-    weights = np.zeros((len(index), len(LABELS)))
+    weights = np.zeros((len(index), width))
     # Without evidence a unit takes its own kind's first label.
     for kind, allowed in _ALLOWED.items():
         weights[index[kind], _OF[allowed[0]]] = 0.5
-    if len(known):
-        rows, cols = [], []
-        for r, i in enumerate(known):
-            hits = [index[f] for f in units[i].features if f in index]
-            rows += [r] * len(hits)
-            cols += hits
-        rows, cols = np.asarray(rows), np.asarray(cols)
-        mask = _mask([units[i] for i in known])
-        truth = np.eye(len(LABELS))[[units[i].weak for i in known]]
-        squares = np.full(weights.shape, 1e-8)
-        for _ in range(EPOCHS):
-            score = mask.copy()
-            np.add.at(score, rows, weights[cols])
-            score = np.exp(score - score.max(1, keepdims=True))
-            gap = truth - score / score.sum(1, keepdims=True)
-            step = np.zeros_like(weights)
-            np.add.at(step, cols, gap[rows])
-            step = step / len(known) - DECAY * weights
-            squares += step * step
-            weights += RATE * step / np.sqrt(squares)
-    model = Field(index, weights, np.zeros((6, 6)), np.zeros((6, 6)), anchors)
-    guess = model.unary(units).argmax(1) if units else np.zeros(0, np.int64)
-    label = np.array([u.weak if u.weak >= 0 else g for u, g in zip(units, guess, strict=True)], dtype=np.int64)
-    model.chain, model.skip = _affinity(label, graph.chain), _affinity(label, graph.skip)
+    # Equal and joined units start out inclined to agree.
+    agree = (np.eye(width), 3.0 * np.eye(width))
+    model = Field(index, weights, agree[0].copy(), agree[1].copy(), anchors)
+    if not units:
+        return model
+    weak = np.array([u.weak for u in units])
+    known = weak >= 0
+    truth = np.where(known[:, None], np.eye(width)[np.maximum(weak, 0)], 0.0)
+    pairs = [(r, index[f]) for r, u in enumerate(units) for f in u.features if f in index]
+    # Labelled nodes are seen once more without the words around them, which a cue would otherwise explain alone.
+    shown = np.flatnonzero(known)
+    pairs += [(len(units) + j, index[f]) for j, r in enumerate(shown) for f in units[r].features[CONTEXT:] if f in index]
+    rows, cols = np.array(pairs, np.int64).T
+    by_row, by_col = _Sums(rows, len(units) + len(shown)), _Sums(cols, len(index))
+    edges = [np.array(e, np.int64).reshape(-1, 2) for e in (graph.chain, graph.skip)]
+    into = [(_Sums(e[:, 0], len(units)), _Sums(e[:, 1], len(units))) for e in edges]
+    mask = np.concatenate((_mask(units), _mask([units[r] for r in shown])))
+    squares = [np.full(x.shape, 1e-8) for x in (weights, model.chain, model.skip)]
+    label = truth
+    for turn in range(FITS):
+        # The first fit knows the weak labels only; later ones know the marginals of the hidden nodes too.
+        weight = known.astype(float) if turn == 0 else np.where(known, 1.0, np.maximum(0.0, 2.0 * label.max(1) - 1.0))
+        if not weight.any():
+            break
+        for _ in range(STEPS):
+            score = by_row(model.weights[cols]) + mask
+            for e, (left, right), potential in zip(edges, into, (model.chain, model.skip), strict=True):
+                if len(e):
+                    score[: len(units)] += left(label[e[:, 1]] @ potential.T) + right(label[e[:, 0]] @ potential)
+            gap = (np.concatenate((label, truth[shown])) - _marginals(score)) * np.concatenate((weight, np.ones(len(shown))))[:, None]
+            grads = [by_col(gap[rows])]
+            for e in edges:
+                grads.append(gap[e[:, 0]].T @ label[e[:, 1]] + label[e[:, 0]].T @ gap[e[:, 1]])
+            # A skip edge has no direction.
+            grads[2] = (grads[2] + grads[2].T) / 2
+            # Weights are drawn to zero, potentials to the agreement they start from.
+            for x, prior, grad, square in zip((model.weights, model.chain, model.skip), (0.0, *agree), grads, squares, strict=True):
+                step = grad / (weight.sum() + len(shown)) - DECAY * (x - prior)
+                square += step * step
+                x += RATE * step / np.sqrt(square)
+        label = np.where(known[:, None], truth, _marginals(model.beliefs(graph)))
     return model
 
 
-def _affinity(label: np.ndarray, edges: list[tuple[int, int]]) -> np.ndarray:
-    """Smoothed pointwise mutual information of the labels at two ends of an edge."""
-    pair = np.full((len(LABELS), len(LABELS)), 0.5) + 2.0 * np.eye(len(LABELS))
-    for a, b in edges:
-        pair[label[a], label[b]] += 1
-        pair[label[b], label[a]] += 1
-    pair /= pair.sum()
-    side = pair.sum(1)
-    return np.clip(np.log(pair / np.outer(side, side)), -4, 4)
+def _graphs(texts: list[str | None], anchors: re.Pattern[str] | None) -> Iterator[Graph]:
+    graph, size = Graph(), 0
+    for i, text in enumerate(texts):
+        if text:
+            graph.add(i, text, anchors)
+            size += len(text)
+            if size >= GRAPH_CHARS:
+                yield graph
+                graph, size = Graph(), 0
+    if size:
+        yield graph
 
 
 def find(model: Field, texts: list[str | None], anchors: re.Pattern[str] | None) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of the pieces of personal data in each text, in order."""
-    graph = Graph()
-    for i, text in enumerate(texts):
-        if text:
-            graph.add(i, text, anchors)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    if not graph.units:
-        return out
-    label = model.labels(graph)
-    for document, i in graph.alone:
-        if label[i]:
-            out[document].append((graph.units[i].start, graph.units[i].end, LABELS[label[i]]))
-    for document, first, stop in graph.names:
-        if label[stop - 1] == _OF["name"]:
-            begin = stop - 1
-            while begin > first and label[begin - 1] == _OF["name"]:
-                begin -= 1
-            out[document].append((graph.units[begin].start, graph.units[stop - 1].end, "name"))
+    for graph in _graphs(texts, anchors):
+        if not graph.units:
+            continue
+        label = model.labels(graph)
+        for document, i in graph.alone:
+            if label[i]:
+                out[document].append((graph.units[i].start, graph.units[i].end, LABELS[label[i]]))
+        for document, first, stop in graph.names:
+            if label[stop - 1] == _OF["name"]:
+                begin = stop - 1
+                while begin > first and label[begin - 1] == _OF["name"]:
+                    begin -= 1
+                out[document].append((graph.units[begin].start, graph.units[stop - 1].end, "name"))
     for spans in out:
         spans.sort()
     return out
@@ -541,7 +651,7 @@ def fit_on(documents: DataFrame, text_col: str = "text", sample: int = SAMPLE_DO
     that what partitions send to the driver does not grow with their number.
     """
     text = F.col(text_col)
-    rows = documents.filter(text.isNotNull() & (text != "")).select(text.alias("t"), F.xxhash64(text).alias("h"))
+    rows = documents.filter(text.isNotNull() & (text != "") & (F.length(text) <= SAMPLE_CHARS)).select(text.alias("t"), F.xxhash64(text).alias("h"))
     count = rows.select("h").distinct().count()
     bound = min(1.0, 1.5 * sample / max(1, count))
     near = rows.filter(F.col("h") <= int(-(2**63) + bound * (2**64 - 1))) if bound < 1 else rows

@@ -107,3 +107,65 @@ def test_sample_holds_a_copied_text_once(spark, monkeypatch):
 @pytest.mark.parametrize("street", ["Camino", "Ronda", "Carretera", "Travesía", "Cuesta", "Pza.", "Avda.", "Calle", "C/"])
 def test_every_spanish_street_word_is_searched(street):
     assert [(u.kind, u.start) for u in pii._addresses(f"vive en {street} del Sol 12, 3.º A")] == [("A", 8)]
+
+
+FOREIGN = [
+    ("Ring us on +44 20 7946 0123 after nine.", {("phone", 11)}),
+    ("Her fax, (731) 555-0188, is off.", {("phone", 9)}),
+    ("He lives at 14 Harbour View Terrace, Luton since May.", {("address", 12)}),
+    ("Wohnhaft in Gartenstraße 9, 10115 Berlin.", {("address", 12)}),
+    ("The clerk wrote down 984-12-8421 and left.", {("id_number", 21)}),
+    ("We met Professor Ines Kwarteng; says Ines Kwarteng: no, but then I. Kwarteng left, and KWARTENG paid.", {("name", 17), ("name", 37), ("name", 65), ("name", 87)}),
+]
+
+
+@pytest.mark.parametrize("text, expected", FOREIGN)
+def test_wording_of_no_cue_list_of_the_data(model, text, expected):
+    import re
+
+    found = pii.find(model, [text], re.compile(model.anchors))[0]
+    assert {(kind, start) for start, _, kind in found} == expected
+
+
+def test_label_reaches_every_repeat(model):
+    """A surname with a cue in one place is found at its thirtieth mention, however far away."""
+    text = "It was late, said Ilse Qvarnstrom. " + " ".join(f"Later {filler} Qvarnstrom paid." for filler in ["the firm of", "a note by", "it was"] * 10)
+    got = pii.find(model, [text], __import__("re").compile(model.anchors))[0]
+    assert len(got) == 31 and all(kind == "name" for *_, kind in got)
+
+
+def test_propagation_runs_until_settled():
+    """A long chain carries a label to its far end, which a few rounds do not."""
+    n = 40
+    unary = np.zeros((n, 2))
+    unary[0] = (0.0, 9.0)
+    edges = np.array([(i, i + 1) for i in range(n - 1)])
+    bond = np.repeat(np.array([[[3.0, 0.0], [0.0, 3.0]]]), n - 1, 0)
+    belief = pii.propagate(unary, edges, bond)
+    keep, flip = np.exp(3.0), 1.0
+    p = 1 / (1 + np.exp(-9.0))
+    for _ in range(n - 1):
+        p = (p * keep + (1 - p) * flip) / (keep + flip)
+    assert 1 / (1 + np.exp(belief[-1, 0] - belief[-1, 1])) == pytest.approx(p, abs=0.02)
+    assert abs(pii.propagate(unary, edges, bond, rounds=4)[-1]).max() < 1e-6
+
+
+def test_similar_units_are_joined():
+    graph = pii.Graph()
+    import re
+
+    graph.add(0, "said Grace Orlan-Velm. Later G. Orlan and ORLAN. Tel +44 20 7946 0123 or 7946 0123.", re.compile(r"\b(?:Orlan|ORLAN)[\w-]*"))
+    form = [u.form for u in graph.units]
+    joined = {(form[a], form[b]) for a, b in graph.skip}
+    assert {("orlan-velm", "orlan"), ("orlan", "orlan"), ("442079460123", "79460123")} <= joined
+
+
+def test_many_units_in_one_text(model):
+    """Long local parts, long runs of capitals and many units cost no more than in proportion."""
+    import re
+    import time
+
+    text = ("x" * 300 + "@host.test said Anna Bell. ") * 300 + "Anna Bell " * 3000 + "+1 731 555 0104, " * 3000
+    began = time.time()
+    found = pii.find(model, [text], re.compile(model.anchors))[0]
+    assert time.time() - began < 60 and sum(k == "email" for *_, k in found) == 300 and found[0][:2] == (0, 310)
