@@ -20,6 +20,10 @@ from quillmesh.functions.skew import bounded_broadcast, hash_bucket, take_ranked
 from quillmesh.functions.text import language_code, squash
 from quillmesh.lineage import Workspace
 
+#: Signatures tried against one another at once.
+BLOCK = 256
+#: Records up to which splits of a draw follow the exact hypergeometric law.
+EXACT_DRAW = 10**9
 _PLAN = (
     "request_id string, category_kind string, category string, signature string, take long, "
     "available long, wanted long, floor long, share double, reached double, met boolean, reachable boolean"
@@ -54,43 +58,101 @@ def swap_repair(
 ) -> np.ndarray:
     """Counts per signature, summing to ``total``, that no single exchange brings nearer to ``goal``.
 
-    ``member[c, s]`` says whether signature s belongs to category c. Missing
-    floors weigh more than any deviation, so they are repaired first and never
-    given up for it. An exchange moves as many records as lower the cost most.
+    ``member[c, s]`` says whether signature s belongs to category c. The start
+    is a random sample that meets the floors as far as ``total`` allows. Missing
+    floors weigh more than any deviation, so they are never given up for it. An
+    exchange moves as many records as lower the cost most; the signatures that
+    gain most alone are tried first, all of them, in blocks, before the repair ends.
     """
-    take = rng.multivariate_hypergeometric(sizes, total) if sizes.sum() > 0 else np.zeros_like(sizes)
+    take = start_sample(sizes, member, floor, total, rng)
     if not len(goal):
         return take
     heavy = 4.0 * (float(total) ** 2 * len(goal) + 1.0)
 
-    def cost(counts: np.ndarray) -> np.ndarray:
-        short = np.maximum(0, floor[:, None] - counts)
-        return ((counts - goal[:, None]) ** 2).sum(0) + heavy * short.sum(0)
+    def moves(counts: np.ndarray, step: int) -> np.ndarray:
+        """What ``step`` more records of each category add to the cost; differences, so that large counts stay exact."""
+        return step * (2 * (counts - goal) + step) + heavy * (np.maximum(0, floor - counts - step) - np.maximum(0, floor - counts))
 
-    n = len(sizes)
-    source, target = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n), indexing="ij"))
-    shift = (member[:, target] - member[:, source]).astype(float)
-    useful = np.abs(shift).sum(0) > 0
-    source, target, shift = source[useful], target[useful], shift[:, useful]
-    if not len(source):
-        return take
+    def cost(counts: np.ndarray) -> int:
+        whole = [(int(c), int(g), int(f)) for c, g, f in zip(counts, goal, floor, strict=True)]
+        return sum((c - g) ** 2 + int(heavy) * max(0, f - c) for c, g, f in whole)
+
+    def best_of(sources: np.ndarray, targets: np.ndarray, step: int) -> tuple[float, int, int]:
+        """The exchange of ``step`` records from one of ``sources`` to one of ``targets`` that lowers the cost most."""
+        sources, targets = sources[take[sources] >= step], targets[room[targets] >= step]
+        if not len(sources) or not len(targets):
+            return 0.0, -1, -1
+        # A category of both keeps its count, so what it would gain and lose is taken out again.
+        change = lose[sources][:, None] + gain[targets][None, :] - (member[:, sources] * both[:, None]).T @ member[:, targets]
+        at = int(change.argmin())
+        return float(change.flat[at]), int(sources[at // len(targets)]), int(targets[at % len(targets)])
+
+    step = max(1, int(min(take.max(initial=0), (sizes - take).max(initial=0))))
     while True:
-        counts = (member @ take).astype(float)
-        now = cost(counts[:, None])[0]
-        room = np.minimum(take[source], sizes[target] - take[target])
-        best, move = now, None
-        step = max(1, int(room.max()))
-        while step >= 1:
-            after = np.where(room >= step, cost(counts[:, None] + step * shift), np.inf)
-            at = int(after.argmin())
-            if after[at] < best - 1e-9:
-                best, move = after[at], (source[at], target[at], step)
-            step //= 2
-        if move is None:
+        counts, room = (member @ take).astype(float), sizes - take
+        more, less = moves(counts, step), moves(counts, -step)
+        both, gain, lose = more + less, member.T @ more, member.T @ less
+        best, move = -0.5, None
+        change, i, j = best_of(np.argsort(lose, kind="stable")[:BLOCK], np.argsort(gain, kind="stable")[:BLOCK], step)
+        if change < best:
+            best, move = change, (i, j)
+        # The cost is convex in the size of an exchange: where no single record's exchange helps, none does.
+        if move is None and step == 1 and len(sizes) > BLOCK:
+            for first in range(0, len(sizes), BLOCK):
+                change, i, j = best_of(np.arange(first, min(first + BLOCK, len(sizes))), np.arange(len(sizes)), step)
+                if change < best:
+                    best, move = change, (i, j)
+        if move is not None:
+            later = take.copy()
+            later[move[0]] -= step
+            later[move[1]] += step
+            # Compared in whole numbers, so that every exchange lowers the cost and the repair ends.
+            if cost(member @ later) < cost(counts):
+                take = later
+                continue
+        if step == 1:
             return take
-        take = take.copy()
-        take[move[0]] -= move[2]
-        take[move[1]] += move[2]
+        step //= 2
+
+
+def start_sample(sizes: np.ndarray, member: np.ndarray, floor: np.ndarray, total: int, rng: np.random.Generator) -> np.ndarray:
+    """Random counts per signature that sum to ``total``: scarce categories' floors first, the rest from all that is left."""
+    take = np.zeros(len(sizes), np.int64)
+    spare = member @ sizes - floor if len(floor) else floor
+    for c in np.argsort(spare, kind="stable"):
+        short = min(int(floor[c] - member[c] @ take), total - int(take.sum()))
+        if short > 0:
+            take += random_counts((sizes - take) * member[c], short, rng)
+    return take + random_counts(sizes - take, total - int(take.sum()), rng)
+
+
+def random_counts(sizes: np.ndarray, total: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind a random draw of ``total`` without replacement holds, for any number of records.
+
+    The kinds are halved and the draw is split between the halves. A split of
+    more records than the generator's exact law takes is drawn with its mean
+    and variance, which at that size nobody can tell from it.
+    """
+    out = np.zeros(len(sizes), np.int64)
+    todo = [(0, len(sizes), int(min(total, sizes.sum())))]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    while todo:
+        first, stop, n = todo.pop()
+        if n <= 0:
+            continue
+        if stop - first == 1:
+            out[first] = n
+            continue
+        half = (first + stop) // 2
+        left, right = int(ends[half] - ends[first]), int(ends[stop] - ends[half])
+        if left + right < EXACT_DRAW:
+            k = int(rng.hypergeometric(left, right, n))
+        else:
+            share = left / (left + right)
+            spread = np.sqrt(n * share * (1 - share) * max(0.0, (left + right - n) / (left + right - 1)))
+            k = int(np.clip(round(rng.normal(n * share, spread)), max(0, n - right), min(n, left)))
+        todo += [(first, half, k), (half, stop, n - k)]
+    return out
 
 
 def _plan_request(key: tuple, pool: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:

@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.skew import join_counted
 from quillmesh.functions.text import site
 from quillmesh.lineage import Workspace
 
 #: Bytes fixed per round. Two bytes give at most 65,536 counts per contributor and round.
 DIGIT_BYTES = 2
-#: Contributors whose cutoffs may be broadcast; beyond that they are joined by shuffle.
+#: Contributors whose cutoffs may be broadcast; beyond that only those of hot contributors are.
 BROADCAST_CONTRIBUTORS = 100_000
 
 
@@ -51,25 +52,38 @@ def _common_prefix(low: Column, high: Column) -> Column:
     return F.least(same, F.octet_length(low), F.octet_length(high))
 
 
-def cap_by_rank(records: DataFrame, caps: DataFrame, group: str, key: str, cap: str) -> DataFrame:
+def cap_by_rank(records: DataFrame, caps: DataFrame, group: str, key: str, cap: str, broadcast: int = BROADCAST_CONTRIBUTORS) -> DataFrame:
     """Records with a boolean ``kept``: the ``cap`` records of least ``key`` per ``group`` are kept.
 
     ``key`` is a byte string, unique within its group. Groups absent from
     ``caps`` or with a null cap keep everything; a cap of zero or less keeps
-    nothing. ``caps`` has one row per group.
+    nothing. Records of no group are kept. ``caps`` has one row per group.
     """
     ws = Workspace(records.sparkSession, "caps")
     limits = caps.filter(F.col(cap).isNotNull()).select(group, F.col(cap).cast("long").alias("_cap"))
-    small = limits.count() <= BROADCAST_CONTRIBUTORS
-    hint = F.broadcast if small else (lambda df: df)
-    capped = ws.write(records.join(hint(limits), group).select(group, key), "capped")
+    # One row per contributor, with its records and its cap, if any.
+    plan = ws.write(
+        records.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_rows")).join(limits, group, "left"), "plan"
+    )
+    contributors, total = plan.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    small = contributors <= broadcast
+
+    def attach(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Records with their contributor's row: broadcast while contributors are few, else only the hot ones."""
+        if small:
+            return left.join(F.broadcast(right.drop("_rows")), group)
+        return join_counted(left, right, [group], "_rows", int(total)).drop("_rows")
+
+    bounded = plan.filter(F.col("_cap").isNotNull())
+    capped = ws.write(attach(records, bounded.drop("_cap")).select(group, key), "capped")
     # One state row per contributor: prefix fixed so far, records still to keep below it, finished or not.
     state = (
         capped.groupBy(group)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-        .join(hint(limits), group)
+        .join(bounded, group)
         .select(
             group,
+            "_rows",
             F.when(F.col("_cap") <= 0, F.lit(0)).otherwise(F.col("_cap")).cast("long").alias("_left"),
             "_n",
             F.expr("substring(_lo, 1, 0)").alias("_prefix"),
@@ -92,7 +106,7 @@ def cap_by_rank(records: DataFrame, caps: DataFrame, group: str, key: str, cap:
         at = F.octet_length("_prefix")
         digit = F.substring(F.col(key), at + 1, F.lit(DIGIT_BYTES))
         sizes = (
-            capped.join(hint(state.filter(~F.col("_done")).select(group, "_prefix")), group)
+            attach(capped, state.filter(~F.col("_done")).select(group, "_rows", "_prefix"))
             .filter(F.substring(F.col(key), F.lit(1), at) == F.col("_prefix"))
             .groupBy(group, digit.alias("_digit"))
             .agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
@@ -101,12 +115,13 @@ def cap_by_rank(records: DataFrame, caps: DataFrame, group: str, key: str, cap:
         upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
         cut = (
             sizes.withColumn("_upto", upto)
-            .join(hint(state.filter(~F.col("_done"))), group)
+            .join(state.filter(~F.col("_done")), group)
             .filter((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left")))
         )
         exact = F.col("_upto") == F.col("_left")
         step = cut.select(
             group,
+            "_rows",
             (F.col("_left") - (F.col("_upto") - F.col("_n"))).alias("_left"),
             F.when(exact, F.concat("_prefix", "_digit"))
             .otherwise(F.substring(F.col("_lo"), F.lit(1), _common_prefix(F.col("_lo"), F.col("_hi"))))
@@ -122,7 +137,10 @@ def cap_by_rank(records: DataFrame, caps: DataFrame, group: str, key: str, cap:
     starts = F.substring(F.col(key), F.lit(1), F.octet_length("_prefix")) == F.col("_prefix")
     within = (F.col(key) <= F.col("_prefix")) | (F.col("_open") & starts)
     kept = F.col("_prefix").isNull() | F.col("_all") | ((F.col("_left") > 0) & within)
-    return records.join(hint(state), group, "left").withColumn("kept", kept).drop("_left", "_prefix", "_done", "_all", "_open")
+    free = plan.filter(F.col("_cap").isNull()).select(group, "_rows")
+    every = state.unionByName(free, allowMissingColumns=True)
+    judged = attach(records, every).withColumn("kept", kept).drop("_left", "_prefix", "_done", "_all", "_open")
+    return judged.unionByName(records.filter(F.col(group).isNull()).withColumn("kept", F.lit(True)))
 
 
 def latest_scores(scores: DataFrame) -> DataFrame:

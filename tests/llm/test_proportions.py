@@ -1,6 +1,6 @@
 import numpy as np
 
-from quillmesh.llm.proportions import draw, frame_units, plan_samples, report, swap_repair
+from quillmesh.llm.proportions import draw, frame_units, plan_samples, random_counts, report, start_sample, swap_repair
 
 UNITS = "frame_id string, article_id string, sample_roles array<string>, language string"
 ARTICLES, REQUESTS = "article_id string, language string, frame_id string", "request_id string, frame_id string, sample_size long, wanted string"
@@ -64,3 +64,31 @@ def test_no_exchange_improves():
                     other[i] -= 1
                     other[j] += 1
                     assert cost(other) >= cost(take) - 1e-9
+
+
+def test_start_meets_floors():
+    rng = np.random.default_rng(1)
+    sizes, member = np.array([5, 3000, 40, 1]), np.array([[1, 0, 0, 1], [0, 0, 1, 1], [0, 1, 0, 0]])
+    for _ in range(20):
+        take = start_sample(sizes, member, np.array([6, 10, 0]), 60, rng)
+        assert take.sum() == 60 and (take <= sizes).all() and (member @ take >= [6, 10, 0]).all()
+
+
+def test_draws_of_any_size():
+    rng = np.random.default_rng(2)
+    small = np.mean([random_counts(np.array([10, 20, 70]), 30, rng) for _ in range(4000)], axis=0)
+    assert np.allclose(small, [3, 6, 21], atol=0.25)
+    big = random_counts(np.array([4 * 10**9, 10**9, 5 * 10**9, 0]), 10**9, rng)
+    assert big.sum() == 10**9 and np.allclose(big / 10**9, [0.4, 0.1, 0.5, 0], atol=1e-3)
+
+
+def test_many_signatures():
+    """Thousands of signatures and many records: the goals are met without looking at every pair in every step."""
+    rng = np.random.default_rng(3)
+    n = 1200
+    member = rng.integers(0, 2, (12, n))
+    sizes = rng.integers(1, 10**7, n)
+    total = 10**6
+    goal = np.round(np.linspace(0.4, 0.6, 12) * total)
+    take = swap_repair(sizes, member, goal, np.zeros(12), total, rng)
+    assert take.sum() == total and np.abs(member @ take - goal).max() <= 2

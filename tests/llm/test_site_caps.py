@@ -44,3 +44,17 @@ def test_identifier_prefixes_and_edges(spark):
         assert got == {("s", a) for a in sorted(x[0] for x in articles)[cap:]}
     assert _cut(spark, articles, [], []) == (set(), 4)
     assert _cut(spark, [], [], [("s", 1, None)]) == (set(), 0)
+
+
+def test_many_contributors_are_joined_by_shuffle(spark):
+    """Beyond the broadcast bound hot and cold contributors give the same records."""
+    from pyspark.sql import functions as F
+
+    from quillmesh.llm.site_caps import cap_by_rank
+
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"c{i % 40}", f"{i:05d}") for i in range(900)]
+    df = spark.createDataFrame(rows, "domain string, name string").withColumn("key", F.encode("name", "UTF-8"))
+    caps = spark.createDataFrame([("hot", 100), ("c3", 2), ("c6", 0), ("c9", 500), ("none", 1)], "domain string, cap long")
+    got = [{(r["name"], r["kept"]) for r in cap_by_rank(df, caps, "domain", "key", "cap", **bound).collect()} for bound in ({}, {"broadcast": 5})]
+    assert got[0] == got[1] and len(got[0]) == 900
+    assert sum(k for n, k in got[0] if rows[int(n)][0] == "hot") == 100 and not any(k for n, k in got[0] if rows[int(n)][0] == "c6")
