@@ -4,7 +4,8 @@ The model counts, for contexts of several lengths read backward from a
 position and never past the start of its line, how often the text breaks there
 (line or text end) and how often it goes on. Counts come from every position of
 every value; only contexts that end some value are kept, found through one
-fixed-size bitmap per length. The likelihood of ending over that of going on,
+bitmap per length that is sized by their number. Where even the largest fills
+up, more counts are moved, none is lost. The likelihood of ending over that of going on,
 backed off from the longest known context, gives each value's log-odds, and
 values below the threshold of their language are truncated.
 
@@ -35,12 +36,16 @@ from quillmesh.lineage import Workspace
 ORDERS = (3, 5, 8, 12, 20)
 #: Weight of the shorter context's estimate, in observations.
 BACKOFF = 3.0
-#: Where a threshold is looked for, and the one used for a language with too few values.
-SEARCH, DEFAULT, LEAST_VALUES = (-6.0, -1.75), -3.75, 500
+#: Where a threshold is looked for, the middle of equally empty stretches, and the weight, in values, of all languages' histogram.
+SEARCH, DEFAULT, POOLED_VALUES = (-6.0, -1.75), -3.75, 500.0
 #: Log-odds taken from a value that carries a sign of the cut.
 MARK_COST = 12.0
 #: Symbols handled at once per Python worker; longer texts are read in pieces.
 PIECE = 1 << 20
+#: Most slots of a bitmap of wanted contexts, as a power of two, and the slots of one part of it.
+MOST_BITS, PART_BITS = 28, 20
+#: Distinct contexts a worker counts before it passes the counts on.
+HELD_CONTEXTS = 1 << 21
 #: Characters at the end of a value that surely hold its final context.
 TAIL = 700
 # Signs that a cut leaves behind, at the very end of a value.
@@ -229,11 +234,17 @@ def _counter(packed: list[bytes], bits: int):
     """Function over Arrow batches of texts that counts breaks and continuations of the marked contexts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = [np.unpackbits(np.frombuffer(p, np.uint8)).view(bool) for p in packed]
+        wanted = [np.frombuffer(p, np.uint8) for p in packed]
         hasher, shift = _Hasher(), np.uint64(64 - bits)
         keys = [[] for _ in ORDERS]
         counts = [[] for _ in ORDERS]
         total = [0, 0]
+
+        def rows(k: int) -> pa.RecordBatch:
+            key, n = _merged(keys[k], counts[k])
+            keys[k], counts[k] = [], []
+            return _count_rows(np.full(len(key), k), key.view(np.int64), n)
+
         texts = (t for batch in batches for t in batch.column(0).to_pylist() if t)
         for codes, at in _pieces(texts):
             if not len(at):
@@ -242,7 +253,8 @@ def _counter(packed: list[bytes], bits: int):
             total[0] += int(breaks.sum())
             total[1] += len(at)
             for k, h in enumerate(hasher(codes, at)):
-                hit = wanted[k][(h >> shift).astype(np.int64)]
+                slot = h >> shift
+                hit = (wanted[k][(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 == 1
                 # The lowest bit of a key says whether the text broke there.
                 key = np.sort((h[hit] & ~np.uint64(1)) | breaks[hit].astype(np.uint64))
                 if len(key):
@@ -252,47 +264,60 @@ def _counter(packed: list[bytes], bits: int):
                 if len(keys[k]) >= 24:
                     merged = _merged(keys[k], counts[k])
                     keys[k], counts[k] = [merged[0]], [merged[1]]
-        rows = [([-1, -1], [0, 1], total)]
+                    if len(merged[0]) >= HELD_CONTEXTS:
+                        yield rows(k)
+        yield _count_rows(np.array([-1, -1]), np.array([0, 1]), np.array(total))
         for k in range(len(ORDERS)):
             if keys[k]:
-                key, n = _merged(keys[k], counts[k])
-                rows.append((np.full(len(key), k), key.view(np.int64), n))
-        order, key, n = (np.concatenate([np.asarray(r[i], np.int64) for r in rows]) for i in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(key), pa.array(n)], names=["order", "key", "n"])
+                yield rows(k)
 
     return count
 
 
+def _count_rows(order: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (order, key, n)], names=["order", "key", "n"])
+
+
 def _bitmaps(tuples: DataFrame, bits: int) -> list[bytes]:
-    """One bitmap per order of the contexts that end a value: 2**bits bits, whatever the number of values."""
-    size = (1 << bits) // 8
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maps = np.zeros((len(ORDERS), 1 << bits), bool)
-        for batch in batches:
-            if len(batch):
-                slots = np.stack(batch["contexts"].to_numpy()).astype(np.int64).view(np.uint64) >> np.uint64(64 - bits)
-                for k in range(len(ORDERS)):
-                    maps[k, slots[:, k].astype(np.int64)] = True
-        yield pd.DataFrame({"k": range(len(ORDERS)), "bits": [np.packbits(m).tobytes() for m in maps]})
-
-    out = np.zeros((len(ORDERS), size), np.uint8)
-    for row in tuples.select("contexts").coalesce(8).mapInPandas(mark, "k int, bits binary").toLocalIterator():
-        out[row["k"]] |= np.frombuffer(row["bits"], np.uint8)
+    """One bitmap per order of the contexts that end a value: 2**bits bits.
+
+    Every part of a bitmap is filled by one task from its distinct slots; the
+    driver puts the parts together.
+    """
+    part = min(bits, PART_BITS)
+    places = tuples.select(F.posexplode("contexts").alias("k", "h")).select("k", F.shiftrightunsigned("h", 64 - bits).alias("slot"))
+    parts = places.distinct().groupBy("k", F.shiftright("slot", part).alias("part"))
+
+    def mark(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(1 << part, bool)
+        flags[rows["slot"].to_numpy() & ((1 << part) - 1)] = True
+        return pd.DataFrame({"k": [key[0]], "part": [key[1]], "bits": [np.packbits(flags).tobytes()]})
+
+    out, size = np.zeros((len(ORDERS), (1 << bits) // 8), np.uint8), (1 << part) // 8
+    for row in parts.applyInPandas(mark, "k int, part long, bits binary").toLocalIterator():
+        out[row["k"], row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return [m.tobytes() for m in out]
 
 
-def _threshold(scores: list[tuple[float, int]]) -> float:
-    """Middle of the emptiest stretch, at least half a unit wide, of the searched range of log-odds."""
-    if sum(n for _, n in scores) < LEAST_VALUES:
-        return DEFAULT
-    step = 0.25
-    cells = np.zeros(int((SEARCH[1] - SEARCH[0]) / step))
+def _cells(scores: list[tuple[float, int]]) -> np.ndarray:
+    """Values per quarter unit of the searched range of log-odds, and at the end all of them."""
+    cells = np.zeros(int((SEARCH[1] - SEARCH[0]) * 4) + 1)
     for score, n in scores:
+        cells[-1] += n
         if SEARCH[0] <= score < SEARCH[1]:
-            cells[int((score - SEARCH[0]) / step)] += n
+            cells[int((score - SEARCH[0]) * 4)] += n
+    return cells
+
+
+def _threshold(own: np.ndarray, pooled: np.ndarray) -> float:
+    """Middle of the emptiest stretch of the searched range, by a language's histogram and all languages'.
+
+    All languages together weigh as much as POOLED_VALUES values, whatever
+    their number, so that a language's own values prevail smoothly as they grow.
+    """
+    cells = own[:-1] + pooled[:-1] * (POOLED_VALUES / max(1.0, pooled[-1]))
     weight = np.convolve(cells, [0.5, 1.0, 0.5], mode="same")
-    centre = SEARCH[0] + step * (np.arange(len(cells)) + 0.5)
+    centre = SEARCH[0] + 0.25 * (np.arange(len(cells)) + 0.5)
     # Of equally empty cells the one nearest the default stands.
     return float(centre[np.lexsort((np.abs(centre - DEFAULT), weight))[0]])
 
@@ -329,7 +354,7 @@ class TruncationModel:
 
     def _score(self, texts: DataFrame) -> DataFrame:
         n = self.tuples.count()
-        bits = int(min(24, max(16, np.ceil(np.log2(16 * max(1, n))))))
+        bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(16 * max(1, n))))))
         counter = _counter(_bitmaps(self.tuples, bits), bits) if n else _counter([b"\0" * (1 << bits >> 3)] * len(ORDERS), bits)
         counted = texts.mapInArrow(counter, "order long, key long, n long")
         isbreak = F.col("key").bitwiseAND(F.lit(1)) == 1
@@ -378,7 +403,9 @@ class TruncationModel:
         by: dict[str, list[tuple[float, int]]] = {}
         for r in rows:
             by.setdefault(r["lang"], []).append((r["cell"], r["n"]))
-        return {lang: _threshold(scores) for lang, scores in by.items()}
+        cells = {lang: _cells(scores) for lang, scores in by.items()}
+        pooled = sum(cells.values(), np.zeros(int((SEARCH[1] - SEARCH[0]) * 4) + 1))
+        return {lang: _threshold(own, pooled) for lang, own in cells.items()}
 
     def judged(self) -> DataFrame:
         """(article_id, site, lang, log_odds, threshold, truncated) of every value."""

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from quillmesh.llm.truncation import TruncationModel, _codes, _symbols, final_core, site_rates, truncated_articles
+from quillmesh.llm.truncation import TruncationModel, _cells, _codes, _symbols, _threshold, final_core, site_rates, truncated_articles
 
 SCHEMA = "article_id string, domain string, language string, body string, key string"
 PARTS = ["The plant in {} will audit {} tools before May.", "Shares of {} rose {} percent after a quiet week.", "{} said it would lease its line of {} chambers.", "Does the shift leave {} with {} orders?"]
@@ -61,3 +61,22 @@ def test_symbols():
 def test_marks():
     assert final_core("cut he [...]", True) == ("\ncut he", True) and final_core("wait…” ", False) == ("wait…”", False)
     assert final_core("R&D", False) == ("R&D", False) and final_core("x &amp", False) == ("x", True)
+
+
+def test_threshold_moves_smoothly_to_its_own_language():
+    """A small language follows all languages' gap, a large one its own; between them nothing switches."""
+    gap = lambda at: _cells([(c / 8 - 6.0, 0 if abs(c / 8 - 6.0 - at) < 0.5 else 40) for c in range(34)])
+    pooled, own = gap(-4.5), gap(-2.5)
+    picked = [_threshold(own * size, pooled * 100) for size in (1e-6, 1e-3, 0.1, 1.0, 10.0, 1e4)]
+    assert abs(picked[0] + 4.5) < 0.3 and abs(picked[-1] + 2.5) < 0.3 and picked == sorted(picked)
+    assert _threshold(own * 0, pooled * 0) == min((-3.875, -3.625), key=lambda x: abs(x - _threshold(own * 0, pooled * 0)))
+
+
+def test_bounded_state_loses_no_count(spark, monkeypatch):
+    """Workers that pass on their counts early and bitmaps of many parts give the same log-odds."""
+    df = spark.createDataFrame(_rows(120)[0], SCHEMA)
+    odds = lambda: {(r["article_id"], round(r["log_odds"], 9)) for r in TruncationModel(df).judged().collect()}
+    want = odds()
+    monkeypatch.setattr("quillmesh.llm.truncation.PART_BITS", 6)
+    monkeypatch.setattr("quillmesh.llm.truncation.MOST_BITS", 8)
+    assert odds() == want
