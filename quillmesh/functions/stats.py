@@ -52,10 +52,45 @@ def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column
     )
 
 
+def wilson_half_width(p: float, n: int, z: float = Z95) -> float:
+    """Half the width of the Wilson interval of a share ``p`` of ``n``."""
+    if n < 1 or not 0.0 <= p <= 1.0:
+        raise ValueError(f"no interval for a share of {p} of {n}")
+    return z / (1 + z * z / n) * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+
+
+def least_n(p: float, half_width: float, z: float = Z95, most: int = 1_000_000) -> int:
+    """The smallest sample whose Wilson interval at ``p`` is no wider than asked; ValueError if ``most`` is not enough."""
+    low, high = 1, most
+    if not 0.0 < half_width <= 1.0 or wilson_half_width(p, most, z) > half_width:
+        raise ValueError(f"no sample of up to {most} gives a half width of {half_width}")
+    while low < high:
+        middle = (low + high) // 2
+        if wilson_half_width(p, middle, z) <= half_width:
+            high = middle
+        else:
+            low = middle + 1
+    return low
+
+
+def finite_n(n: int, population: int) -> int:
+    """Sample size for a finite population, rounded up."""
+    if n < 1 or population < 1:
+        raise ValueError("sample and population hold at least one")
+    return -(-population * n // (population + n - 1))
+
+
+def welch_p(mean_a: Column, sd_a: Column, n_a: Column, mean_b: Column, sd_b: Column, n_b: Column) -> Column:
+    """Two-sided p of equal means by Welch's statistic and the normal law; null below two values a side or without spread."""
+    square = sd_a * sd_a / n_a + sd_b * sd_b / n_b
+    ok = (n_a >= 2) & (n_b >= 2) & (square > 0)
+    return erfc(F.when(ok, F.abs(mean_a - mean_b) / F.sqrt(square) / F.sqrt(F.lit(2.0))))
+
+
 @pandas_udf(T.DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     """Complementary error function."""
-    return x.map(lambda v: math.erfc(v) if v == v else None)
+    return x.map(lambda v: math.erfc(v) if v == v and v is not None else None)
 
 
 def _fisher(a: float, b: float, c: float, d: float) -> float | None:
@@ -66,14 +101,12 @@ def _fisher(a: float, b: float, c: float, d: float) -> float | None:
     low, high = max(0, column - other), min(row, column)
     if low == high:
         return 1.0
-    k = np.arange(low, high + 1)
-    factorial = np.array([math.lgamma(i + 1) for i in range(row + other + 1)])
-
-    def choose(n: int, r: np.ndarray) -> np.ndarray:
-        return factorial[n] - factorial[r] - factorial[n - r]
-
-    logs = choose(row, k) + choose(other, column - k) - (factorial[row + other] - factorial[column] - factorial[row + other - column])
-    p = np.exp(logs)
+    # The least arrangement by log gammas of its cells, the others by the ratio of neighbours: only the support is covered.
+    choose = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
+    first = choose(row, low) + choose(other, column - low) - choose(row + other, column)
+    k = np.arange(low, high, dtype=float)
+    steps = np.log((row - k) * (column - k)) - np.log((k + 1) * (other - column + k + 1))
+    p = np.exp(first + np.concatenate(([0.0], np.cumsum(steps))))
     return float(min(1.0, p[p <= p[a - low] * (1 + 1e-7)].sum()))
 
 

@@ -100,8 +100,29 @@ def _quantile(ordered: list[float], q: float) -> float:
     return ordered[low] + (ordered[high] - ordered[low]) * (at - low)
 
 
+def mean_interval(values: list[float], draws: int = DRAWS, seed: int = SEED) -> tuple[float | None, float | None]:
+    """95 % interval of a mean by resampling single values with one seeded generator; none for fewer than two values.
+
+    For the values of one small group; a group of records is summed by session first.
+    """
+    n = len(values)
+    if n < 2:
+        return None, None
+    pick = random.Random(seed)
+    at = np.array([[pick.randrange(n) for _ in range(n)] for _ in range(draws)])
+    means = sorted(np.asarray(values, float)[at].mean(axis=1).tolist())
+    return _quantile(means, 0.025), _quantile(means, 0.975)
+
+
+def study_window(df: DataFrame, day: str, start: object = None, end: object = None) -> DataFrame:
+    """Rows of the days from start to end, both inside; an open end does not bound."""
+    if start is not None:
+        df = df.filter(F.col(day) >= F.lit(start))
+    return df if end is None else df.filter(F.col(day) <= F.lit(end))
+
+
 def bootstrap_differences(means: DataFrame, session: str, by: list[str], draws: int = DRAWS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """95 % interval of event minus control by circular block bootstrap over sessions in order; null for an empty side.
+    """95 % interval of event minus control by circular block bootstrap over sessions in order; null for a side of fewer than two.
 
     A task holds the session means of one contrast: one number per session.
     """
@@ -112,7 +133,7 @@ def bootstrap_differences(means: DataFrame, session: str, by: list[str], draws:
         rows = rows.sort_values(session)
         sides = [rows.loc[rows["kind"] == k, "value"].tolist() for k in ("event", "control")]
         head = {c: [rows[c].iloc[0]] for c in [*by, "response"]}
-        if not all(sides):
+        if min(map(len, sides)) < 2:
             return pd.DataFrame({**head, "difference": [None], "low": [None], "high": [None]})
         event = block_draws(sides[0], draws, block, seed)
         control = block_draws(sides[1], draws, block, seed + CONTROL_SEED)

@@ -134,6 +134,13 @@ def attention_windows(series: DataFrame, topic: str, session: str, value: str, s
     return out
 
 
+def without_baseline(features: DataFrame, truncated: Column) -> DataFrame:
+    """Rolling fields of series whose counts were cut off say nothing: all null, with no history."""
+    kept = [c for c, _ in features.dtypes if not c.startswith(("count_change", "attention_zscore", "attention_ratio", "history_length"))]
+    rolling = [F.when(truncated, F.lit(0 if c == "history_length" else None)).otherwise(F.col(c)).cast(t).alias(c) for c, t in features.dtypes if c not in kept]
+    return features.select(*kept, *rolling)
+
+
 def trailing_percentile(series: DataFrame, topic: str, session: str, value: str) -> DataFrame:
     """``series`` with the share of a topic's earlier values at or below the current one; null for the first.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.plans.guardrails import check_sql
+
 
 def daily_volume(df: DataFrame, at: str, kind: str) -> DataFrame:
     """(day, kind, events) counts; rows without a time are left out."""
@@ -20,10 +24,12 @@ def top_values(df: DataFrame, column: str, limit: int) -> DataFrame:
 def quality_summary(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """(column_name, rows, missing, distinct_values) of each text column, and the duplicates of the key."""
     blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"), *(F.sum(blank(c).cast("long")).alias(f"m_{c}") for c in columns), *(F.count_distinct(c).alias(f"d_{c}") for c in columns),
-        (F.count(key) - F.count_distinct(key)).alias("repeated"),
-    )
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys"), *(F.sum(blank(c).cast("long")).alias(f"m_{c}") for c in columns))
+    # Distinct values are counted by two hashes, in one pass and one shuffle of hashes whatever the number of columns.
+    named = [F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("h"), F.hash(c).alias("h2"), F.col(c).isNotNull().alias("ok")) for i, c in enumerate([key, *columns])]
+    hashes = df.select(F.inline(F.array(*named))).filter("ok").select("i", "h", "h2").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("d"))
+    counts = hashes.agg(*(F.coalesce(F.sum(F.when(F.col("i") == i, F.col("d"))), F.lit(0)).alias("_key" if i == 0 else f"d_{columns[i - 1]}") for i in range(len(columns) + 1)))
+    row = row.crossJoin(counts).withColumn("repeated", F.col("keys") - F.col("_key"))
     entries = [F.struct(F.lit(c).alias("column_name"), F.col("rows"), F.col(f"m_{c}").alias("missing"), F.col(f"d_{c}").alias("distinct_values"), F.col("repeated").alias("repeated_keys")) for c in columns]
     return row.select(F.inline(F.array(*entries)))
 
@@ -41,3 +47,35 @@ def concentration(df: DataFrame, group: str, member: str) -> DataFrame:
         group, "members", "rows", bits.alias("entropy"), (F.col("sq") / (n * n)).alias("hhi"), F.exp(bits).alias("effective_members"),
         (F.col("top") / n).alias("top_share"),
     )
+
+
+def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, counts): a sorted map from each non-null value to its rows, of values that are a bounded dimension."""
+    each = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(value).cast("string").alias("k"), F.col("n").alias("v"))))
+    return each.groupBy(group).agg(F.map_from_entries(pairs).alias("counts"))
+
+
+def fill_template(text: str, values: dict[str, str]) -> str:
+    """A view's text with every ``{{name}}`` replaced; a name without a value raises KeyError, an unused value ValueError."""
+    names = set(re.findall(r"\{\{\s*(\w+)\s*\}\}", text))
+    if unused := set(values) - names:
+        raise ValueError(f"values without a place: {sorted(unused)}")
+    return re.sub(r"\{\{\s*(\w+)\s*\}\}", lambda found: values[found[1]], text)
+
+
+def create_views(spark: SparkSession, views: dict[str, str], values: dict[str, str], tables: list[str], bound: str) -> list[str]:
+    """Create temporary views from checked templates, in order; later views may read earlier ones."""
+    made: list[str] = []
+    for name, text in views.items():
+        used = {k: v for k, v in values.items() if f"{{{{{k}}}}}" in text.replace(" ", "")}
+        query = check_sql(fill_template(text, used), bound, [*tables, *made])
+        spark.sql(query).createOrReplaceTempView(name)
+        made.append(name)
+    return made
+
+
+def export_views(spark: SparkSession, names: list[str], folder: str) -> None:
+    """Each view as a folder of CSV files with a header."""
+    for name in names:
+        spark.table(name).write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.skew import hash_bucket, take_ranked
 from quillmesh.functions.stats import Z95, benjamini_hochberg, erfc, fisher_exact, ratio
+from quillmesh.lineage import Workspace
 
 # Weights of the composite, its penalties and its support ramp.
 WEIGHTS = {"association": 0.30, "support": 0.25, "stability": 0.20, "source_diversity": 0.15, "seed_diversity": 0.10}
@@ -47,34 +48,39 @@ def theme_frequency(records: DataFrame, codes: str, limit: int) -> DataFrame:
     ).orderBy(F.desc("record_count"), "theme").limit(limit)
 
 
-def seeded_counts(records: DataFrame, record: str, day: str, source: str, codes: str, seeds: str, min_support: int) -> DataFrame:
+def seeded_counts(records: DataFrame, record: str, day: str, source: str, codes: str, seeds: str, min_support: int, sentinel: Column | None = None) -> DataFrame:
     """Per theme: records with and without a seed, days, weeks and sources among seeded ones, and the largest source and day.
 
     ``records`` has one row per record, so distinct records are plain counts.
     Totals over all records come along on every row; themes below the support
-    are left out after counting. Exact top source and day are two-level counts.
+    are left out after counting, but for those of ``sentinel``, a condition on
+    ``theme``. Exact top source and day are two-level counts.
     """
-    base = records.select(
-        record, F.col(day).alias("d"), F.col(source).alias("s"), F.array_distinct(codes).alias("codes"), F.col(seeds).alias("seeds"),
-        (F.size(seeds) > 0).alias("seeded"),
+    ws = Workspace(records.sparkSession, "themes")
+    seeded = F.size(seeds) > 0
+    totals = records.agg(F.count(F.lit(1)).alias("total_all"), F.sum(seeded.cast("long")).alias("total_seed"), F.min(day).alias("d0"))
+    rows = records.select(F.col(day).alias("d"), F.col(source).alias("s"), seeded.alias("seeded"), F.col(seeds).alias("seeds"), F.explode(F.array_distinct(codes)).alias("theme"))
+    # Counts by theme, day and source hold all that is asked but the seeds; each further grouping reads them, not the records.
+    cells = ws.write(rows.groupBy("theme", "d", "s").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("seeded").cast("long")).alias("k"),
+        # A bounded number of seeds names each bit of what a cell's records name.
+        F.array_distinct(F.flatten(F.collect_set("seeds"))).alias("seeds"),
+    ), "cells")
+    days = cells.groupBy("theme", "d").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    by_day = days.crossJoin(F.broadcast(totals.select("d0"))).groupBy("theme").agg(
+        F.sum("n").alias("theme_all"), F.sum("k").alias("theme_seed"), F.sum(F.when(F.col("k") > 0, 1)).alias("seed_days"),
+        F.count_distinct(F.when(F.col("k") > 0, F.floor(F.datediff("d", "d0") / 7))).alias("seed_weeks"), F.max("k").alias("top_day_records"),
     )
-    totals = base.agg(F.count(F.lit(1)).alias("total_all"), F.sum(F.col("seeded").cast("long")).alias("total_seed"))
-    first = base.agg(F.min("d").alias("d0"))
-    rows = base.crossJoin(F.broadcast(first)).select("*", F.explode("codes").alias("theme")).drop("codes")
-    counts = rows.groupBy("theme").agg(
-        F.count(F.lit(1)).alias("theme_all"), F.sum(F.col("seeded").cast("long")).alias("theme_seed"),
-        F.count_distinct(F.when(F.col("seeded"), F.col("d"))).alias("seed_days"),
-        F.count_distinct(F.when(F.col("seeded"), F.floor(F.datediff("d", "d0") / 7))).alias("seed_weeks"),
-        F.count_distinct(F.when(F.col("seeded"), F.col("s"))).alias("seed_sources"),
-    ).filter(F.col("theme_seed") >= min_support)
-    only = rows.filter("seeded")
-    top = {}
-    for name, col in (("source", "s"), ("day", "d")):
-        each = only.groupBy("theme", F.col(col).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        top[name] = each.groupBy("theme").agg(F.max("n").alias(f"top_{name}_records"))
-    spread = only.select("theme", F.explode("seeds").alias("seed")).groupBy("theme").agg(F.count_distinct("seed").alias("distinct_seeds"))
-    out = counts.join(top["source"], "theme", "left").join(top["day"], "theme", "left").join(spread, "theme", "left")
-    return out.crossJoin(F.broadcast(totals))
+    kept = F.col("theme_seed") >= min_support
+    counts = by_day.filter(kept | sentinel if sentinel is not None else kept).withColumn("seed_days", F.coalesce("seed_days", F.lit(0)).cast("long"))
+    by_source = cells.groupBy("theme", "s").agg(F.sum("k").alias("k")).groupBy("theme").agg(
+        F.sum((F.col("s").isNotNull() & (F.col("k") > 0)).cast("long")).alias("seed_sources"), F.max("k").alias("top_source_records")
+    )
+    spread = cells.select("theme", F.explode("seeds").alias("seed")).distinct().groupBy("theme").agg(F.count(F.lit(1)).alias("distinct_seeds"))
+    out = counts.join(by_source, "theme", "left").join(spread, "theme", "left")
+    none = lambda c: F.when(F.col("theme_seed") > 0, F.col(c)).alias(c)
+    columns = ["theme", "theme_all", "theme_seed", "seed_days", "seed_weeks", "seed_sources", none("top_source_records"), none("top_day_records"), "distinct_seeds"]
+    return out.select(*columns).crossJoin(F.broadcast(totals.drop("d0")))
 
 
 def association(counts: DataFrame) -> DataFrame:

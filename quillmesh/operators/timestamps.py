@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.skew import join_counted
 from quillmesh.functions.timestamps import parse_instant
-from quillmesh.lineage import Workspace
+from quillmesh.lineage import SharedFiles, Workspace
 
 RAW = ["published_at", "published_timezone", "published_at_source"]
 
@@ -37,6 +37,23 @@ def distinct_values(rows: DataFrame) -> DataFrame:
     return rows.select(*blank).filter(F.col("published_at").isNotNull()).groupBy(*RAW).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def store_new(entries: DataFrame, folder: str) -> None:
+    """Append to a stored dictionary the entries whose raw value it does not hold; what it holds stays as it is."""
+    spark = entries.sparkSession
+    if SharedFiles(spark, folder).exists("_SUCCESS"):
+        held = spark.read.parquet(folder).select(*RAW).alias("k")
+        same = [F.col(f"v.{c}").eqNullSafe(F.col(f"k.{c}")) for c in RAW]
+        entries = entries.alias("v").join(held, same, "left_anti")
+    entries.drop("rows").write.mode("append").parquet(folder)
+
+
+def stored_dictionary(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The stored dictionary, if there is one; a value that two writers stored at once counts once."""
+    if not SharedFiles(spark, folder).exists("_SUCCESS"):
+        return None
+    return spark.read.parquet(folder).groupBy(*RAW).agg(F.min("published_us").alias("published_us"))
+
+
 def extend_dictionary(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     """Dictionary entries for the raw values of ``rows``: taken from ``known`` where it has them, else parsed.
 
@@ -58,17 +75,17 @@ def normalise_published(articles: DataFrame, known: DataFrame | None = None, sto
 
     The least instant stands where deliveries of one article disagree. Null
     identifiers are left out, rows without an instant give none. ``store`` is
-    a Parquet folder to which the dictionary is written for a later ``known``;
-    without it the dictionary goes to the run's scratch folder.
+    a Parquet folder that keeps the dictionary between runs: values it holds
+    are not parsed again, new ones are appended, none is lost or doubled.
+    ``known`` is a dictionary given instead.
     """
     ws = Workspace(articles.sparkSession, "timestamps")
     rows = articles.filter(F.col("article_id").isNotNull()).select("article_id", *RAW)
-    entries = extend_dictionary(rows, known)
+    if store and known is None:
+        known = stored_dictionary(articles.sparkSession, store)
+    stored = ws.write(extend_dictionary(rows, known), "dictionary")
     if store:
-        entries.write.mode("append" if known is None else "overwrite").parquet(store)
-        stored = articles.sparkSession.read.parquet(store)
-    else:
-        stored = ws.write(entries, "dictionary")
+        store_new(stored, store)
     joinable = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in RAW]
     fixed = stored.filter(F.col("published_us").isNotNull()).select(*joinable, "rows", "published_us")
     keyed = rows.select("article_id", *(F.when(F.trim(c) != "", F.col(c)).otherwise("").alias(c) for c in RAW))

@@ -1,9 +1,10 @@
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmesh.functions.timestamps import parse_instant
-from quillmesh.operators.timestamps import RAW, extend_dictionary, normalise_published
+from quillmesh.operators.timestamps import RAW, extend_dictionary, normalise_published, stored_dictionary
 
 CASES = [
     ("2025-01-01T13:13:25Z", None, None, "2025-01-01T13:13:25+00:00"),
@@ -65,10 +66,16 @@ def test_hot_value_and_empty_table(spark):
     assert normalise_published(_rows(spark, [])).count() == 0
 
 
-def test_incremental_dictionary(spark, tmp_path):
-    first = _rows(spark, [("a", "2025-01-01T00:00:00Z", None, None, 1)])
-    normalise_published(first, store=str(tmp_path / "d"))
-    known = spark.read.parquet(str(tmp_path / "d"))
-    both = _rows(spark, [("a", "2025-01-01T00:00:00Z", None, None, 1), ("b", "2025-01-02T00:00:00Z", None, None, 1)])
-    got = {r["published_at"]: r["published_us"] for r in extend_dictionary(both.select("article_id", *RAW), known).collect()}
-    assert got == {"2025-01-01T00:00:00Z": 1735689600000000, "2025-01-02T00:00:00Z": 1735776000000000}
+def test_incremental_dictionary(spark, tmp_path, monkeypatch):
+    """A second batch adds its own values, a rerun adds none, and what is stored is not parsed again."""
+    folder = str(tmp_path / "d")
+    first = _rows(spark, [("a", "2025-01-01T00:00:00Z", None, None, 1), ("c", "2025-01-05", None, None, 1)])
+    second = _rows(spark, [("b", "2025-01-02T00:00:00Z", None, None, 1), ("b2", "2025-01-02T00:00:00Z", None, None, 1), ("a2", "2025-01-01T00:00:00Z", "", None, 1)])
+    instants = lambda rows: {tuple(r) for r in normalise_published(rows, store=folder).collect()}
+    assert instants(first) == {("a", 1735689600000000)}
+    for _ in range(2):
+        assert instants(second) == {("b", 1735776000000000), ("b2", 1735776000000000), ("a2", 1735689600000000)}
+    held = [(r["published_at"], r["published_us"]) for r in spark.read.parquet(folder).collect()]
+    assert sorted(held, key=str) == [("2025-01-01T00:00:00Z", 1735689600000000), ("2025-01-02T00:00:00Z", 1735776000000000), ("2025-01-05", None)]
+    known = stored_dictionary(spark, folder).withColumn("published_us", F.lit(7).cast("long"))
+    assert {r["published_us"] for r in extend_dictionary(first.select("article_id", *RAW), known).collect()} == {7}
