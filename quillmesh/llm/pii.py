@@ -94,6 +94,7 @@ _COMPANY_WORD = re.compile(r"(?:Tooling|Inc|Ltd|GmbH|Co|Corp|Group)$")
 _COMPANY_AFTER = re.compile(r" (?:and|&) [A-Z][\w-]+ &")
 
 _AT = re.compile(r"@|＠| ?\(at\) ?| ?\[at\] ?")
+_AT_SIGNS = ("@", "＠", "(at)", "[at]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+%-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?)[A-Za-z0-9-]+)*(?:\.| ?\(dot\) ?| ?\[dot\] ?)[A-Za-z]{2,}")
 #: Words of a street's name.
@@ -128,6 +129,7 @@ _SHENG = re.compile(rf"(?:黑龙江|内蒙古|[{_HAN}]{{2}})(?:省|自治区)(?=
 _HAN_NAMES = re.compile(
     rf"(?<![{_HAN}])[{_HAN}]{{1,4}}[ 　]?[{_HAN}]{{1,3}}?(?=氏|さん|様)|(?<=由)[{_HAN}]{{2,4}}(?=出任|担任)|(?<![{_HAN}A-Za-z])[{_HAN}]{{2,4}}(?=表示[“\"「])"
 )
+_HAN_SIGNS = ("氏", "さん", "様", "由", "表示")
 _WORDS_BEFORE = re.compile(r"[^\W\d_]+\.?|[^\w\s]")
 
 
@@ -161,6 +163,8 @@ def _shape(value: str) -> str:
 
 
 def _emails(text: str) -> Iterator[Unit]:
+    if not any(sign in text for sign in _AT_SIGNS):
+        return
     for at in _AT.finditer(text):
         start = at.start()
         while start and text[start - 1] in _LOCAL:
@@ -317,7 +321,8 @@ def _names(text: str, anchors: re.Pattern[str] | None, taken: _Spans) -> Iterato
             left = token[0]
         floor = end
         yield _named(text, given[::-1], surname)
-    for found in _HAN_NAMES.finditer(text) if not text.isascii() else ():
+    # Each alternative of the pattern needs one of these.
+    for found in _HAN_NAMES.finditer(text) if not text.isascii() and any(sign in text for sign in _HAN_SIGNS) else ():
         unit = Unit("H", found.start(), found.end(), found[0])
         unit.features = _context(text, unit)
         unit.weak = _OF["name"]
@@ -511,18 +516,19 @@ def name_stems(counts: dict[str, list[int]]) -> str:
 
 
 class _Sums:
-    """Sums of rows by a fixed assignment of rows to slots, sorted once."""
+    """Sums, by slot, of a table's rows that ``source`` names; sorted once for all tables."""
 
-    def __init__(self, slot: np.ndarray, slots: int) -> None:
-        self._order = np.argsort(slot, kind="stable")
-        kept = slot[self._order]
+    def __init__(self, slot: np.ndarray, source: np.ndarray, slots: int) -> None:
+        order = np.argsort(slot, kind="stable")
+        kept = slot[order]
+        self._source = source[order]
         self._starts = np.flatnonzero(np.diff(kept, prepend=-1))
         self._at, self._slots = kept[self._starts], slots
 
-    def __call__(self, rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((self._slots, rows.shape[1]))
+    def __call__(self, table: np.ndarray) -> np.ndarray:
+        out = np.zeros((self._slots, table.shape[1]))
         if len(self._at):
-            out[self._at] = np.add.reduceat(rows[self._order], self._starts, axis=0)
+            out[self._at] = np.add.reduceat(table[self._source], self._starts, axis=0)
         return out
 
 
@@ -565,9 +571,9 @@ def fit(texts: list[str], anchors: str | None = None) -> Field:
     shown = np.flatnonzero(known)
     pairs += [(len(units) + j, index[f]) for j, r in enumerate(shown) for f in units[r].features[CONTEXT:] if f in index]
     rows, cols = np.array(pairs, np.int64).T
-    by_row, by_col = _Sums(rows, len(units) + len(shown)), _Sums(cols, len(index))
+    by_row, by_col = _Sums(rows, cols, len(units) + len(shown)), _Sums(cols, rows, len(index))
     edges = [np.array(e, np.int64).reshape(-1, 2) for e in (graph.chain, graph.skip)]
-    into = [(_Sums(e[:, 0], len(units)), _Sums(e[:, 1], len(units))) for e in edges]
+    into = [(_Sums(e[:, 0], e[:, 1], len(units)), _Sums(e[:, 1], e[:, 0], len(units))) for e in edges]
     mask = np.concatenate((_mask(units), _mask([units[r] for r in shown])))
     squares = [np.full(x.shape, 1e-8) for x in (weights, model.chain, model.skip)]
     label = truth
@@ -577,12 +583,12 @@ def fit(texts: list[str], anchors: str | None = None) -> Field:
         if not weight.any():
             break
         for _ in range(STEPS):
-            score = by_row(model.weights[cols]) + mask
+            score = by_row(model.weights) + mask
             for e, (left, right), potential in zip(edges, into, (model.chain, model.skip), strict=True):
                 if len(e):
-                    score[: len(units)] += left(label[e[:, 1]] @ potential.T) + right(label[e[:, 0]] @ potential)
+                    score[: len(units)] += left(label @ potential.T) + right(label @ potential)
             gap = (np.concatenate((label, truth[shown])) - _marginals(score)) * np.concatenate((weight, np.ones(len(shown))))[:, None]
-            grads = [by_col(gap[rows])]
+            grads = [by_col(gap)]
             for e in edges:
                 grads.append(gap[e[:, 0]].T @ label[e[:, 1]] + label[e[:, 0]].T @ gap[e[:, 1]])
             # A skip edge has no direction.
