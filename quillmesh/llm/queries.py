@@ -22,7 +22,7 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.SiteLines(table(spark, sf_dir, "articles")).line_report()
+    return boilerplate.SiteLines(table(spark, sf_dir, "articles")).line_report().drop("line_key")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,12 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportions.report(proportions.plan_samples(*_frames(spark, sf_dir)))
 
 
+def p3_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each target asks of its frame and what the frame holds, without the sample."""
+    report = proportions.report(proportions.plan_samples(*_frames(spark, sf_dir)))
+    return report.select("request_id", "category_kind", "category", "available", "wanted", "floor", "reachable")
+
+
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportions.draw(*_frames(spark, sf_dir))
 

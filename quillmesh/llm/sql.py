@@ -92,6 +92,18 @@ SQL: dict[str, str] = {
   SELECT article_id, body, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE r.k IS NULL) AS clean, count(r.k) AS lines_removed
   FROM keyed LEFT JOIN repeated r ON r.site = keyed.site AND r.k = keyed.k GROUP BY ALL)
 SELECT article_id, coalesce(clean, '') AS body, lines_removed FROM kept""",
+    "p1_line_report": _LINES
+    + """, dated AS (
+  SELECT regexp_replace(lower(trim(domain)), '^www\\.', '') AS site, body,
+    min(CASE WHEN regexp_extract(published_at, '^\\s*(\\d{4}-\\d{2}-\\d{2})', 1) <> '' THEN regexp_extract(published_at, '^\\s*(\\d{4}-\\d{2}-\\d{2})', 1) ELSE substr(ingested_at, 1, 10) END) AS day
+  FROM articles WHERE article_id IS NOT NULL AND domain IS NOT NULL AND body IS NOT NULL GROUP BY ALL)
+SELECT site, count(DISTINCT article_id) AS articles, count(DISTINCT body) AS document_clusters, count(DISTINCT day) AS publication_dates
+FROM keyed JOIN repeated USING (site, k) JOIN dated USING (site, body) GROUP BY site, k""",
+    "p3_targets": _UNITS
+    + """SELECT DISTINCT t.request_id, t.category_kind, t.category, coalesce(h.n, 0) AS available, CAST(round(coalesce(t.target_share, 0) * r.sample_size) AS BIGINT) AS wanted,
+  coalesce(t.min_count, 0) AS floor, coalesce(h.n, 0) >= greatest(CAST(round(coalesce(t.target_share, 0) * r.sample_size) AS BIGINT), coalesce(t.min_count, 0)) AS reachable
+FROM sample_targets t JOIN sample_requests r USING (request_id)
+LEFT JOIN have h ON h.frame_id = r.frame_id AND h.category_kind = t.category_kind AND h.name = lower(trim(t.category))""",
     "p4_agreement": _AGREEMENT
     + "SELECT metric, (SELECT count(*) FROM sized) AS items, round(pairable, 6) AS pairable, round(alpha, 6) AS alpha FROM alphas",
     "p2_found": _GROUPS + "SELECT article_id, group_id FROM groups",
