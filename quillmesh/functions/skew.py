@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds at least 1/HOT_SHARE of all rows, so at most HOT_SHARE keys are hot.
+#: A key is hot when it holds at least 1/HOT_SHARE of all rows, or the share of one shuffle partition where those are more.
 HOT_SHARE = 1000
 
 
+def hot_limit(spark: SparkSession, total: int) -> int:
+    """Rows above which a key is hot; by arithmetic no more keys can be hot than HOT_SHARE or the number of shuffle partitions."""
+    return max(1, total // max(HOT_SHARE, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count_col: str, total: int) -> DataFrame:
     """Inner join of many rows to one row per key, where ``count_col`` counts the left rows of the key.
 
-    Hot keys are by definition at most HOT_SHARE of them (their counts sum to
-    no more than ``total``), so their side is broadcast and their rows are
-    never shuffled; all other keys hold too few rows to skew a shuffle.
+    Hot keys are few by definition (`hot_limit`; their counts sum to no more
+    than ``total``), so their side is broadcast and their rows are never
+    shuffled; all other keys hold less than a partition's share of the rows.
     """
-    limit = max(1, total // HOT_SHARE)
+    limit = hot_limit(left.sparkSession, total)
     hot = right.filter(F.col(count_col) > limit)
     cold = right.filter(F.col(count_col) <= limit)
     marks = F.broadcast(hot.select(*keys))

@@ -302,7 +302,8 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _one_delivery(spark, sf_dir, "title", "url")
+    # Titles are unique here; their beginnings are not.
+    rows = _one_delivery(spark, sf_dir, "title", "url").withColumn("title", F.substring("title", 1, 14))
     same = rows.groupBy(F.lower(F.trim("title")).alias("k")).agg(F.min("article_id").alias("group_id"), F.count(F.lit(1)).alias("n"), F.min("title").alias("title"), F.min("url").alias("url"))
     return news.members_of_groups(rows, same.filter("n > 1").select("group_id", "title", "url"), "article_id")
 

@@ -397,7 +397,7 @@ a AS (SELECT event_type, n, (SELECT min(c.session) FROM cal c WHERE c.session >
 SELECT session, event_type, sum(n)::BIGINT AS attention_count, count(*) AS source_days FROM a GROUP BY ALL"""
 )
 SQL["approximate_sources"] = "SELECT source AS value, count(*) AS rows FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY 2 DESC LIMIT 40"
-SQL["group_members"] = """WITH r AS (SELECT article_id, max(title) AS title, max(url) AS url FROM articles GROUP BY article_id),
+SQL["group_members"] = """WITH r AS (SELECT article_id, substr(max(title), 1, 14) AS title, max(url) AS url FROM articles GROUP BY article_id),
 g AS (SELECT lower(trim(title)) AS k, min(article_id) AS group_id, min(url) AS url FROM r GROUP BY 1 HAVING count(*) > 1)
 SELECT DISTINCT article_id, group_id FROM r JOIN g ON (lower(trim(r.title)) = g.k AND g.k <> '') OR (trim(r.url) = trim(g.url) AND trim(g.url) <> '')"""
 SQL["merged_roles"] = """WITH f AS (SELECT cluster_id, max(CASE WHEN isnan(design_weight) THEN NULL ELSE design_weight END) AS design_weight FROM sampled_units WHERE NOT double_annotate GROUP BY 1),
