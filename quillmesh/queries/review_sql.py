@@ -104,7 +104,7 @@ WITH units AS (SELECT doc_id, min(concat_ws('|', coalesce(doc_kind, 'none'), coa
 ), exact_ AS (SELECT *, (least(200, whole) - k) * size / whole::DOUBLE AS e FROM sizes
 ), base AS (SELECT *, least(size, 1 + CAST(floor(e) AS BIGINT)) AS q, e - floor(e) AS f FROM exact_
 ), left_ AS (SELECT *, least(200, whole) - sum(q) OVER () AS missing, CASE WHEN q < size THEN row_number() OVER (PARTITION BY q < size ORDER BY f DESC, stratum DESC) END AS place FROM base
-), quota AS (SELECT stratum, size, q + CASE WHEN place <= missing THEN 1 ELSE 0 END AS q FROM left_
+), quota AS (SELECT stratum, size, CASE WHEN whole <= 200 THEN size WHEN place <= missing THEN q + 1 ELSE q END AS q FROM left_
 ), ranked AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY sha256('quillmesh|' || doc_id), doc_id) AS rn FROM units)
 SELECT doc_id, stratum, round(q * 1.0::DOUBLE / size, 6) AS inclusion_probability, round(size * 1.0::DOUBLE / q, 6) AS design_weight FROM ranked JOIN quota USING (stratum) WHERE rn <= q""",
     "theme_classes": _CODES + f"""SELECT code, articles, k.category, k.confidence, k.generic, k.manual_review, k.matched_rule
