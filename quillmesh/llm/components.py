@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.skew import HOT_SHARE, join_counted
+from quillmesh.functions.skew import hot_limit, join_counted
 from quillmesh.lineage import Workspace
 
 # Verdicts that join two articles into one story.
@@ -40,7 +40,7 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     keyed = edges.withColumnRenamed("lo", "node")
     below = _least_below(edges).withColumnRenamed("hi", "node")
     fan = edges.groupBy(F.col("lo").alias("node")).agg(F.count(F.lit(1)).alias("fan"))
-    hubs = fan.filter(F.col("fan") > max(1, total // HOT_SHARE)).join(below, "node", "left")
+    hubs = fan.filter(F.col("fan") > hot_limit(edges.sparkSession, total)).join(below, "node", "left")
     from_hubs = keyed.join(F.broadcast(hubs), "node")
     others = keyed.join(F.broadcast(hubs.select("node")), "node", "left_anti").join(below, "node", "left")
     cols = ["hi", F.coalesce("p", "node").alias("lo")]
