@@ -89,8 +89,8 @@ def session_features(bars: DataFrame) -> DataFrame:
     }).drop("_vol", "_park", "prev", "lag5", "lag20", "n20", "mean_volume20", "sd_volume20", "mean_close20")
 
 
-def forward_targets(bars: DataFrame, benchmark: DataFrame, horizon: int = 5) -> DataFrame:
-    """(symbol, day) with what follows over ``horizon`` bars from this one on.
+def forward_targets(bars: DataFrame, benchmark: DataFrame, horizon: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, day, ``keep``) with what follows over ``horizon`` bars from this one on.
 
     ``benchmark`` is a bar series (day, close) of its own; each leg's returns
     walk its own positions. A horizon is complete only when the previous bar
@@ -110,7 +110,7 @@ def forward_targets(bars: DataFrame, benchmark: DataFrame, horizon: int = 5) ->
     done = (F.col("_n") == horizon) & F.col("prev").isNotNull()
     # The benchmark has one bar a day, so its side is bounded by the number of days.
     return own.join(F.broadcast(market), "day", "left").select(
-        "symbol", "day", F.col("r").alias("session_return"), F.abs("r").alias("absolute_return"), "benchmark_return",
+        "symbol", "day", *keep, F.col("r").alias("session_return"), F.abs("r").alias("absolute_return"), "benchmark_return",
         (F.col("r") - F.col("benchmark_return")).alias("benchmark_adjusted_return"), done.alias("complete"),
         F.when(done, ratio(F.col("_end"), F.col("prev")) - 1).alias("cumulative_return"),
         F.when(done & (F.col("_rn") == horizon) & (F.col("_bn") == horizon), F.col("_sum") - F.col("_bsum")).alias("cumulative_adjusted_return"),

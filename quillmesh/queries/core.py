@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.hashing import content_hash, short_id
+from quillmesh.functions.skew import bounded_broadcast
 from quillmesh.functions.text import language_code, site
 from quillmesh.functions.urls import host_of, normalize_url
 from quillmesh.operators import (
@@ -61,8 +62,11 @@ def p6_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- market bars -------------------------------------------------------------
 
 
-def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bars(spark: SparkSession, sf_dir: str, by_symbol: bool = False) -> DataFrame:
+    """Daily bars of the order lines; ``by_symbol`` shuffles the lines by symbol, which serves what follows along a symbol's series too."""
     lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 0")
+    if by_symbol:
+        lines = lines.filter("l_suppkey is not null").repartition("l_suppkey")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return bars.daily_bars(lines, "l_suppkey", "l_shipdate", price, F.col("l_quantity"), ["l_orderkey", "l_linenumber"])
 
@@ -525,8 +529,14 @@ def event_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = event_study.long_responses(_study(spark, sf_dir), ["kind", "symbol", "day"], _RESPONSES)
-    return _round(event_study.bootstrap_contrasts(long, "day", "symbol"))
+    """Both contrasts read one shuffle of the trades by symbol; bars, features, targets and draws follow in its order."""
+    series = _bars(spark, sf_dir, by_symbol=True)
+    activity = bars.session_features(series).select("symbol", "day", "close", "volume", "volume_zscore_20", "parkinson_variance")
+    ahead = bars.forward_targets(activity, _benchmark(series), keep=("volume_zscore_20", "parkinson_variance"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey")
+    places = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("symbol"))
+    wide = event_study.classify(ahead.join(bounded_broadcast(places), "symbol"), "volume_zscore_20")
+    return _round(event_study.bootstrap_contrasts(wide.select("symbol", "kind", "day", *_RESPONSES), "day", "symbol", _RESPONSES))
 
 
 def median_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 from datetime import date, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,3 +333,96 @@ def test_block_bootstrap_covers_all_contrasts(spark, data_dir, monkeypatch):
     assert sorted(seen) == [([], 2000), (["symbol"], 2000)]
     pooled = {r["response"] for r in rows if r["symbol"] is None}
     assert pooled == set(core._RESPONSES) == {r["response"] for r in rows if r["symbol"] is not None}
+
+
+def _drawn_by_hand(values, draws, seed):
+    import random
+
+    n, out = len(values), []
+    for i in range(draws):
+        pick, drawn = random.Random(seed + i), []
+        while len(drawn) < n:
+            start = pick.randrange(n)
+            drawn += [values[(start + k) % n] for k in range(min(event_study.BLOCK, n))]
+        out.append(sum(drawn[:n]) / n)
+    return out
+
+
+def test_draw_means_of_many_sequences_follow_the_generator():
+    import random
+
+    pick = random.Random(8)
+    for n in (2, 3, 4, 5, 6, 8, 31, 32, 33, 64, 127, 600):
+        rows = [[pick.gauss(0, 1) for _ in range(n)] for _ in range(6)]
+        got = event_study.draw_means(np.array(rows), 4, event_study.BLOCK, 12345)
+        assert got == pytest.approx(np.array([_drawn_by_hand(row, 4, 12345) for row in rows]), abs=1e-12)
+        rows[2][1] = float("inf")
+        mixed = event_study.draw_means(np.array(rows), 4, event_study.BLOCK, 12345)
+        others = [0, 1, 3, 4, 5]
+        assert mixed[others] == pytest.approx(got[others], abs=1e-12) and mixed[2].tolist() == pytest.approx(_drawn_by_hand(rows[2], 4, 12345))
+
+
+def test_block_draws_of_many_lengths_seed_each_generator_once(monkeypatch):
+    import random
+
+    seeded = []
+
+    class Counted(random.Random):
+        def __init__(self, seed):
+            seeded.append(seed)
+            super().__init__(seed)
+
+    monkeypatch.setattr(event_study.random, "Random", Counted)
+    for n in range(40, 80):
+        event_study.block_draws([float(k) for k in range(n)], 30, 5, 987_654_321)
+    assert len(seeded) <= 4 * 30  # for each of at most four numbers of outputs, not for each of the forty lengths
+
+
+@pytest.mark.parametrize("rows_at_a_time", [30, 500_000])
+def test_bootstrap_of_wide_responses_equals_brute_force(spark, monkeypatch, rows_at_a_time):
+    import random
+
+    monkeypatch.setattr(event_study, "_ROWS", rows_at_a_time)
+    pick, days = random.Random(4), 70
+    rows = [
+        (s, "event" if pick.random() < 0.2 else "control", d, pick.gauss(0, 1), None if pick.random() < 0.3 else pick.gauss(2, 1))
+        for s in (*"abcdefgh", None) for d in range(days) for _ in range(pick.choice([0, 1, 1, 2]))
+    ]
+    rows += [("one", "event", 1, 1.0, 1.0), ("one", "control", 1, 1.0, None), ("one", "control", 2, 2.0, None), ("none", "unclassified", 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, kind string, day int, x double, y double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {(r["symbol"], r["response"]): r for r in event_study.bootstrap_contrasts(df, "day", "symbol", ["x", "y"], 40).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+    def side(symbol, kind, at):
+        by_day = {}
+        for r in rows:
+            if r[1] == kind and (symbol is None or r[0] == symbol) and r[at] is not None:
+                by_day.setdefault(r[2], []).append(r[at])
+        return [sum(v) / len(v) for _, v in sorted(by_day.items())]
+
+    assert set(got) == {(s, y) for s in (*"abcdefgh", None, "one") for y in "xy"}
+    for (symbol, response), r in got.items():
+        event, control = (side(symbol, kind, 3 + "xy".index(response)) for kind in ("event", "control"))
+        if min(len(event), len(control)) < 2:
+            assert (symbol, r["difference"], r["low"], r["high"]) == ("one", None, None, None)
+            continue
+        gaps = sorted(e - c for e, c in zip(
+            _drawn_by_hand(event, 40, event_study.SEED), _drawn_by_hand(control, 40, event_study.SEED + event_study.CONTROL_SEED), strict=True
+        ))
+        assert r["difference"] == pytest.approx(sum(event) / len(event) - sum(control) / len(control))
+        assert r["low"] == pytest.approx(event_study._quantile(gaps, 0.025)) and r["high"] == pytest.approx(event_study._quantile(gaps, 0.975))
+
+
+def test_block_bootstrap_shuffles_the_trades_once(spark, data_dir):
+    from quillmesh.queries import core
+
+    df = core.block_bootstrap(spark, data_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "SortMergeJoin" not in plan
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("REPARTITION_BY_COL") <= 2  # of the second, what it stands for
